@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
+from eventloom.llm.warc import warc_round_trip
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
+    return warc_round_trip(read(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS winner FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN winner IS NULL OR page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN winner IS NOT NULL AND page_id <> winner THEN winner END AS refers_to
+        FROM w""",
+}
