@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
+from eventloom.llm import quality
 from eventloom.llm.warc import warc_round_trip
 
 
@@ -16,6 +17,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, figures of the base rule, base_failed and the verdict of every whole text."""
+    return quality.quality_report(read(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
     return warc_round_trip(read(spark, sf_dir, "pages")).drop("url", "payload")
@@ -23,10 +29,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality": quality.ORACLE_SQL,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
