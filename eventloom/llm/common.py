@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def where_held(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly columns without pushing their definitions below the projections that hold them."""
+    held = df.withColumn("held_row", F.monotonically_increasing_id())
+    return held.where(condition & (F.col("held_row") >= 0)).drop("held_row")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are no longer referenced."""
     gc.collect()

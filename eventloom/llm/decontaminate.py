@@ -40,6 +40,10 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(bare, f"[{PARTING}]+", -1), lambda w: w != "")
 
 
+# explode_outer below: for explode the optimizer derives a filter on the array and
+# pushes it to the scan with all its definitions, so each would be worked out twice.
+
+
 def _gram(n: int, i: str = "i") -> str:
     return "xxhash64(" + ", ".join(f"get(m_words, {i} + {j})" for j in range(n)) + ")"
 
@@ -77,7 +81,7 @@ def benchmark_grams(benchmark: DataFrame, window: int, k: int) -> tuple[DataFram
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words_of("text").alias("m_words"))
     long = items.where(F.size("m_words") >= window).withColumn("m_grams", _grams(k))
     long = long.withColumn("m_kept", _kept(window, k)).withColumn("m_at", F.expr("filter(sequence(0, size(m_grams) - 1), i -> array_contains(m_kept, m_grams[i]))"))
-    seeds = long.select("item", "m_words", "m_grams", F.explode("m_at").alias("q"))
+    seeds = long.select("item", "m_words", "m_grams", F.explode_outer("m_at").alias("q")).where("q IS NOT NULL")
     seeds = seeds.select(F.expr("m_grams[q]").alias("hash"), "item", _around("q", window - k, k).alias("theirs")).distinct()
     short = items.where((F.size("m_words") > 0) & (F.size("m_words") < window))
     short = short.select(F.size("m_words").alias("n"), F.expr("xxhash64(array_join(m_words, ' '))").alias("hash"), "item").distinct()
@@ -94,10 +98,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most window - 1 values
     words = docs.select("doc_id", "text").withColumn("m_words", words_of("text")).drop("text")
-    prints = words.withColumn("m_grams", _grams(k)).select("doc_id", F.explode(_kept(window, k)).alias("hash"))
+    prints = words.withColumn("m_grams", _grams(k)).select("doc_id", F.explode_outer(_kept(window, k)).alias("hash")).where("hash IS NOT NULL")
     found = prints.join(_sided(seeds.select("hash").distinct(), small), "hash", "left_semi").withColumn("n", F.lit(0))
     for n in lengths:
-        mine = words.select("doc_id", F.explode(F.array_distinct(_short_grams(n))).alias("hash"))
+        mine = words.select("doc_id", F.explode_outer(F.array_distinct(_short_grams(n))).alias("hash")).where("hash IS NOT NULL")
         theirs = short.where(F.col("n") == n).select("hash").distinct()
         found = found.unionByName(mine.join(_sided(theirs, small), "hash", "left_semi").withColumn("n", F.lit(n)))
     by_doc = found.groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_set(F.struct("n", "hash")).alias("m_found"))
@@ -105,7 +109,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     of = lambda n: F.transform(F.filter("m_found", lambda x: x["n"] == n), lambda x: x["hash"])
     # places of the found hashes, then extension along the words of both sides
     at = again.withColumn("m_grams", _grams(k)).withColumn("m_mine", of(0))
-    at = at.select("doc_id", "m_words", "m_grams", F.explode(F.expr("CASE WHEN size(m_grams) = 0 OR size(m_mine) = 0 THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(m_grams) - 1), i -> array_contains(m_mine, m_grams[i])) END")).alias("p"))
+    at = at.select("doc_id", "m_words", "m_grams", F.explode_outer(F.expr("CASE WHEN size(m_grams) = 0 OR size(m_mine) = 0 THEN CAST(array() AS array<int>) ELSE filter(sequence(0, size(m_grams) - 1), i -> array_contains(m_mine, m_grams[i])) END")).alias("p")).where("p IS NOT NULL")
     at = at.select("doc_id", F.expr("m_grams[p]").alias("hash"), "p", _around("p", window - k, k).alias("ours"))
     # equal surroundings extend alike, so they are compared once
     at = at.groupBy("doc_id", "hash", "ours").agg(F.collect_set("p").alias("ps"))

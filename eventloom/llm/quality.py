@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import where_held
+
 #: The commonest words of each language, commonest first.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on"],
@@ -135,7 +137,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, columns as they were."""
     judged = judge(docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang")}))
     back = {f"in_{i}": c for i, c in enumerate(docs.columns) if c not in ("text", "lang")}
-    return judged.where("quality.kept").drop("quality").withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
+    return where_held(judged, F.col("quality.kept")).drop("quality").withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _oracle() -> str:
