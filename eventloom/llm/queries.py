@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
-from eventloom.llm import decontaminate, quality
+from eventloom.llm import decontaminate, lines, quality, urls
 from eventloom.llm.warc import warc_round_trip
 
 
@@ -22,11 +22,21 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and digest of what is left of every whole text."""
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and items of every whole text held against every benchmark item."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's capture by the entries that held at its fetch time."""
+    return urls.report(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
     return warc_round_trip(read(spark, sf_dir, "pages")).drop("url", "payload")
@@ -35,13 +45,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
     "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE_SQL,
+    "op3_line_dedup": lines.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_url_filter": urls.ORACLE_SQL,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
