@@ -1,0 +1,76 @@
+import hashlib
+import re
+
+from eventloom.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+SCHEMA = "doc_id long, text string, n_email string"
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def good(kind, m):
+    d = re.sub(r"[^0-9]", "", m)
+    return {
+        "email": lambda: True,
+        "ip": lambda: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda: 12 <= len(d) <= 19 and luhn(d),
+        "phone": lambda: 9 <= len(d) <= 15,
+    }[kind]()
+
+
+def brute(text):
+    text = text or ""
+    spans = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if good(k, m.group())]
+    return sorted(spans)
+
+
+def check(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in pii.report(df).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = brute(t)
+        listed = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert rows[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), (t, listed, rows[i])
+        for k in PLAIN:
+            assert rows[i][f"n_{k}"] == sum(x[3] == k for x in want)
+        assert set(filter(None, listed.split(","))) <= set(rows[i].spans.split(","))
+    return rows
+
+
+def test_edges(spark):
+    check(spark, [
+        None, "", "a@b", "a@b.c", "a@b.c.d+e@f.g x@y@z.q", "x.é@é.de 😀a@b.co", "1.2.3.4.5.6.7.8", "256.1.1.1 001.002.003.0004", "0000255.1.1.1",
+        "4111 1111 1111 1111 and 4111-1111-1111-1112", "79927398713 4111111111111111", "+1 (504) 555-2652.", "+12 34", "+1-" + "2" * 12, "+1 (2) +3 444 555 66 77",
+        "1" * 3000, "1." * 2000, "a." * 5000 + "@x.y", "a@" + "b." * 5000 + "c", "a@b..c a@b.c.", "\na@b.c\r\n10.0.0.1\x0b",
+    ])
+
+
+def test_matches_plain_expressions_on_documents(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    check(spark, texts)
+
+
+def test_method_adds_spans_that_the_labelers_agree_on(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{secret}" and more'] * 5 + ["plain words here"] * 5
+    rows = check(spark, texts)
+    assert rows[0].spans == f"secret:9:{9 + len(secret)}" and rows[7].spans == ""
+
+
+def test_training_is_bounded_and_sane():
+    model = pii.train([((1, 0, 1), 80), ((1, 0, -1), 5), ((-1, -1, -1), 40)])
+    assert model.score((1, 0, 1)) > 0.5 > model.score((-1, -1, -1))
+    assert pii.train([]).score((0, 0, 0)) == 0.5
+
+
+def test_empty(spark):
+    assert pii.report(spark.createDataFrame([], SCHEMA)).collect() == []
