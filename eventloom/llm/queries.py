@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
-from eventloom.llm import decontaminate, lines, pii, quality, urls
+from eventloom.llm import decontaminate, lines, ngram_join, pii, quality, urls
 from eventloom.llm.warc import warc_round_trip
 
 
@@ -37,6 +37,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every whole text."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and digest of the base spans, and all spans."""
     return pii.report(read(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
