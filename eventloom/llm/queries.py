@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
-from eventloom.llm import decontaminate, lines, ngram_join, pii, quality, urls
+from eventloom.llm import decontaminate, lines, ngram_join, pii, quality, suffix_dedup, urls
 from eventloom.llm.warc import warc_round_trip
 
 
@@ -37,6 +37,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and digest of every whole text without its repeated 400-byte strings."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every whole text."""
     return ngram_join.join(read(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
