@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm.bpe import bpe_round_trip
 from eventloom.llm.common import read
-from eventloom.llm import decontaminate, lines, ngram_join, pii, quality, suffix_dedup, urls
+from eventloom.llm import decontaminate, html, lines, ngram_join, pii, quality, suffix_dedup, urls
 from eventloom.llm.warc import warc_round_trip
 
 
@@ -42,6 +42,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every whole text."""
     return ngram_join.join(read(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_html": op7_html,
     "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
