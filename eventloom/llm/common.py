@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ def where_held(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark's cleaner drop shuffle files of plans that are no longer referenced, and give it a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -27,7 +27,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import cut, release
@@ -40,6 +42,8 @@ MAX_MATCH, ROUNDS = 4, 2
 #: Share of a member's set that the pivot must hold for the member to count as near.
 NEAR = 0.4
 BLOCK = 512
+#: Names that a task remembers, to send the prefix of equal sets once; bounds memory only.
+REMEMBER = 200_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -56,7 +60,7 @@ def _slots(s: np.ndarray) -> list[np.ndarray]:
 
 
 def survey(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """One pass: (doc_id, n, name) of every document, and the sketch in blocks (block, counts) summed over all tasks."""
+    """One pass: (doc_id, mark, n, name) of every document, mark being a hash of its text, and the sketch in blocks (block, counts) summed over all tasks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -64,7 +68,7 @@ def survey(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         out = pa.schema([("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             ns, names = [], []
-            for s in shingle_sets(_texts(batch.column(1)), size):
+            for s in shingle_sets(_texts(batch.column(2)), size):
                 ns.append(len(s))
                 names.append(_name(s))
                 for r, at in enumerate(_slots(s)):
@@ -72,18 +76,18 @@ def survey(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
                     if len(at) <= 20_000:
                         np.add.at(counts, at + (r << SKETCH_BITS), 1)
             m = len(ns)
-            cols = [batch.column(0), pa.array(ns, out[0].type), pa.array(names, out[1].type), pa.nulls(m, out[2].type), pa.nulls(m, out[3].type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *out.names])
+            cols = [batch.column(0), batch.column(1), pa.array(ns, out[0].type), pa.array(names, out[1].type), pa.nulls(m, out[2].type), pa.nulls(m, out[3].type)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", *out.names])
         if counts.any():
             parts = counts.reshape(-1, SKETCH_BLOCK)
             full = [i for i, p in enumerate(parts) if p.any()]
-            cols = [pa.nulls(len(full), id_type), pa.nulls(len(full), out[0].type), pa.nulls(len(full), out[1].type), pa.array(full, out[2].type), pa.array([parts[i].astype("<i8").tobytes() for i in full], out[3].type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *out.names])
+            cols = [pa.nulls(len(full), id_type), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), out[0].type), pa.nulls(len(full), out[1].type), pa.array(full, out[2].type), pa.array([parts[i].astype("<i8").tobytes() for i in full], out[3].type)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", *out.names])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, name long, block int, counts binary"))
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n long, name long, block int, counts binary"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SKETCH_BLOCK, np.int64)
@@ -92,7 +96,7 @@ def survey(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
 
     blocks = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary")
-    return rows.where("block IS NULL").select("doc_id", "n", "name"), blocks
+    return rows.where("block IS NULL").select("doc_id", "mark", "n", "name"), blocks
 
 
 def sketch(blocks: DataFrame) -> np.ndarray:
@@ -123,19 +127,24 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float) -> tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, l for every shingle of every document's prefix."""
+    """token, name, l for every shingle of every document's prefix; equal sets met in one task are sent once."""
     floor = float(counts.mean())
 
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
             tokens, names, ls, lens = [], [], [], []
             for s in shingle_sets(_texts(batch.column(0)), size):
-                if len(s):
+                name = _name(s)
+                if len(s) and name not in sent:
                     p, m = prefix(s, counts, floor)
                     tokens.append(p)
                     lens.append(len(p))
-                    names.append(_name(s))
+                    names.append(name)
                     ls.append(m)
+                    sent.add(name)
+                    if len(sent) > REMEMBER:
+                        sent.clear()
             if tokens:
                 cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int32), lens)]
                 for i in range(0, len(cols[0]), 50_000):
@@ -144,39 +153,61 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame
     return docs.select("text").mapInArrow(run, "token long, name long, l int")
 
 
-def sets_of(docs: DataFrame, names: DataFrame, size: int = SIZE) -> DataFrame:
-    """name, n, members (sorted 64-bit, as bytes) for one document of each name; names: (doc_id, name)."""
-    picked = docs.select("doc_id", "text").join(names, "doc_id").select("name", "text")
+def shared_tokens(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
+    """token, name, l, p (the token's least name) of the tokens on the prefixes of two sets or more.
 
-    def run(batches):
+    One exchange. A text gives some dozens of tokens and equal sets are sent
+    once a task, so no token has more than a small share of the rows.
+    """
+    w = W.partitionBy("token")
+    rows = prefixes(docs, counts, size).withColumns({"p": F.min("name").over(w), "q": F.max("name").over(w)})
+    return rows.where("p <> q").select("token", "name", "l", "p").distinct()
+
+
+def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """name and compressed text of one document of each name; names: (doc_id, mark, name)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches):
+        shut = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            got = [s for s in shingle_sets(_texts(batch.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["name", "n", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shut((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["d", "m", "packed"])
+
+    packed = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(pack, f"d {kind}, m long, packed binary")
+    both = packed.join(names, (F.col("m") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
+    return both.select("name", "packed").dropDuplicates(["name"])  # rows may repeat
 
-    return picked.mapInArrow(run, "name long, n long, members binary")
 
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """(a, b) with both sizes, their overlap, and b's share of a's sorted members as packed bits.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with both sizes, their overlap, and b's share of a's sorted members as packed bits."""
-    mine = sets.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    theirs = sets.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    both = pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "na", "nb", "ma", "mb")
+    Compressed texts travel, a quarter the size of their sets, which are made again where pairs meet.
+    """
+    mine = texts.select(F.col("name").alias("b"), F.col("packed").alias("mb"))
+    theirs = texts.select(F.col("name").alias("a"), F.col("packed").alias("ma"))
+    both = pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "ma", "mb")
 
     def run(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            over, bits = [], []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                hit = q[at] == p
-                over.append(int(hit.sum()))
-                bits.append(np.packbits(hit).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(over, pa.int64()), pa.array(bits, pa.binary())], names=["a", "b", "na", "nb", "overlap", "bits"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                packed = dict(zip(a, part.column(2), strict=True)) | dict(zip(b, part.column(3), strict=True))
+                made = dict(zip(packed, shingle_sets([open_(x.as_py()) for x in packed.values()], size), strict=True))
+                na, nb, over, bits = [], [], [], []
+                for x, y in zip(a, b, strict=True):
+                    p, q = made[x], made[y]
+                    hit = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+                    na.append(len(p))
+                    nb.append(len(q))
+                    over.append(int(hit.sum()))
+                    bits.append(np.packbits(hit).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, over)), pa.array(bits, pa.binary())], names=["a", "b", "na", "nb", "overlap", "bits"])
 
     return both.mapInArrow(run, "a long, b long, na long, nb long, overlap long, bits binary")
 
 
-def similar(percent: int = PERCENT):
+def similar(percent: int = PERCENT) -> Column:
     return F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")
 
 
@@ -218,17 +249,15 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     found, blocks = survey(docs, size)
     counts = sketch(blocks)
-    rows = prefixes(docs, counts, size)
-    shared = rows.groupBy("token").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q").select("token", "p")
-    lists = cut(rows.join(shared, "token").distinct())
+    lists = cut(shared_tokens(docs, counts, size))
     release(spark)
-    keys = found.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    sets = cut(sets_of(docs, keys.join(lists.select("name").distinct(), "name").select("doc_id", "name"), size))
+    keys = found.where("n > 0").groupBy("name").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
+    texts = cut(texts_of(docs, keys.join(lists.select("name").distinct(), "name").select("one.doc_id", "one.mark", "name")))
     release(spark)
     stars, left = None, lists
     for _ in range(ROUNDS):
         pairs = left.where("name <> p").select(F.col("p").alias("a"), F.col("name").alias("b")).distinct()
-        star = cut(verified(pairs, sets))
+        star = cut(verified(pairs, texts, size))
         near = star.where(F.col("overlap") >= NEAR * F.col("nb")).select(F.col("a").alias("p"), F.col("b").alias("name"))
         far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "l")
         pivots = far.groupBy("token").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q").select("token", "p")
@@ -237,10 +266,10 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         release(spark)
     a, b = (left.select("token", F.col("name").alias(x), F.col("l").alias("l" + x)) for x in "ab")
     many = a.join(b, "token").where("a < b").groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("c")).where("c >= least(la, lb)").select("a", "b")
-    first = stars.where(similar()).select("a", "b").unionByName(verified(many, sets).where(similar()).select("a", "b"))
+    first = stars.where(similar()).select("a", "b").unionByName(verified(many, texts, size).where(similar()).select("a", "b"))
     first = cut(first)
     roots = components(first)
-    rest = cut(verified(_near_blocks(stars, roots), sets).where(similar()).select("a", "b"))
+    rest = cut(verified(_near_blocks(stars, roots), texts, size).where(similar()).select("a", "b"))
     release(spark)
     if rest.isEmpty():
         return found, roots

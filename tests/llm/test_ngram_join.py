@@ -65,3 +65,10 @@ def test_near_copies_near_the_threshold(spark, monkeypatch):
 
 def test_empty(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeated_rows_and_ids(spark):
+    a, b = " ".join(map(str, range(60))), " ".join(map(str, range(1, 61)))
+    rows = [(1, a, 0)] * 5 + [(1, b, 0), (2, b, 0), (None, a, 0), (3, "z y x w v u", 0)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 56, 1)] + [(1, 56, 1)] * 6 + [(2, 56, 1), (3, 2, 3)]
