@@ -42,4 +42,4 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(0.6)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import cut, release
 from eventloom.llm.hashing import STEPS, U64, Sums, mix
 
-LENGTH, GRAM, REACH = 400, 16, 128
+LENGTH, GRAM, REACH = 400, 16, 256
 
 
 LOW = U64(0xFFFFFFFF)
@@ -73,7 +73,7 @@ class Text:
 
 
 def _sample(t: Text) -> tuple[np.ndarray, ...]:
-    """Packed place, and the names of three growing parts, of each anchor."""
+    """Place (with its distances to its first and last start, both under 256), and the names of three growing parts, of each anchor."""
     at, first, last = t.anchors()
     half = (LENGTH - REACH) // 2
     place = (at << 16) + ((at - first) << 8) + (at - last)
@@ -114,8 +114,10 @@ def _shared(rows: DataFrame, *pair: str) -> DataFrame:
 
 def doubled(rows: DataFrame) -> DataFrame:
     """Rounds of rank pairs over the anchors: doc, place, and state: sure, open, or lead (stands for a shared last pair)."""
-    rows = _shared(rows, "r1")
+    rows = cut(_shared(rows, "r1"))
+    release(rows.sparkSession)
     rows = cut(_shared(rows, "r1", "r2"))
+    release(rows.sparkSession)
     last = rows.groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("lead"))
     # only groups with an open member need their shared strings spelled out
     need = last.groupBy("r1", "r2").agg(F.max(F.col("c") == 1).alias("some_open"))
@@ -174,7 +176,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = docs.select(F.xxhash64(key, text).alias("doc"), F.col(text).alias("text"), F.col(key).alias("key"))
 
     def pack(batches):
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             shut = [zip_.compress((t.as_py() or "").encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shut, pa.binary())], names=["doc", "key", "packed"])
