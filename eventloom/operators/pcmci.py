@@ -150,5 +150,5 @@ def real_edges(links: DataFrame) -> DataFrame:
 
 
 def lagged_correlation(x: str, y: str) -> Column:
-    """The unconditional test value over aligned columns."""
-    return F.corr(x, y)
+    """The unconditional test value over aligned columns; null where one of them never changes."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -334,7 +334,7 @@ def first_seen_vocabulary(spark, sf_dir):
 # --- transfer entropy --------------------------------------------------------
 
 SIX_HOURS = 6 * HOUR
-_SERIES = f"""b AS (SELECT token, {floor_of(SIX_HOURS)} AS bin, least(count(*), 3) AS c FROM t WHERE token < 4 GROUP BY ALL), lim AS (SELECT min(bin) AS lo, max(bin) AS hi FROM b),
+_SERIES = f"""b AS (SELECT token, {floor_of(SIX_HOURS)} AS bin, count(*) % 3 AS c FROM t WHERE token < 4 GROUP BY ALL), lim AS (SELECT min(bin) AS lo, max(bin) AS hi FROM b),
     se AS (SELECT k.token, k.bin, coalesce(c, 0) AS x FROM (SELECT token, unnest(range(lo, hi + 1)) AS bin FROM (SELECT DISTINCT token FROM b), lim) k LEFT JOIN b USING (token, bin)),
     hs AS (SELECT token, bin, x AS y, row_number() OVER o - 1 AS i, lag(x, 3) OVER o || ',' || lag(x, 2) OVER o || ',' || lag(x, 1) OVER o AS h FROM se WINDOW o AS (PARTITION BY token ORDER BY bin)),
     wanted AS (SELECT DISTINCT a.token AS cause, e.token AS effect, tau FROM b a, b e, (SELECT unnest(range(1, 5)) AS tau) WHERE a.token <> e.token)"""
@@ -344,7 +344,7 @@ _TE = """jn AS (SELECT cause, effect, tau, s.x, h, y, count(*) AS n1 FROM wanted
 
 
 def series(spark, sf_dir) -> DataFrame:
-    b = B.counts(R.known_tokens(tokens(spark, sf_dir), n=4), SIX_HOURS, ["token"], cap=3)
+    b = B.counts(R.known_tokens(tokens(spark, sf_dir), n=4), SIX_HOURS, ["token"]).withColumn("cnt", F.col("cnt") % 3)  # three symbols, whatever the scale
     span = b.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     spine = b.select("token").distinct().crossJoin(F.broadcast(span)).select("token", F.explode(F.sequence("lo", "hi")).alias("bin"))  # tokens by bins
     return spine.join(b, ["token", "bin"], "left").select("token", "bin", F.coalesce("cnt", F.lit(0)).alias("x"))
@@ -495,7 +495,7 @@ def links_voted_weighted(spark, sf_dir):
 @query(f"""WITH {T}, {_DIST}, {_LINKS}, {_FISHER}, j AS (SELECT fp.cause, fp.effect, fp.tau, n_votes, p, a.rarity AS ra, e.rarity AS re, least(greatest(1, a.nodes_with_event // 8), greatest(1, e.nodes_with_event // 8)) AS max_votes, a.total_count AS cause_count, e.total_count AS effect_count
         FROM fp JOIN dist a ON a.event = fp.cause JOIN dist e ON e.event = fp.effect WHERE p <= 0.01),
     o AS (SELECT *, CASE WHEN list_position(['ZERO', 'ULTRA_RARE', 'RARE', 'MODERATE', 'COMMON', 'VERY_COMMON'], ra) < list_position(['ZERO', 'ULTRA_RARE', 'RARE', 'MODERATE', 'COMMON', 'VERY_COMMON'], re) THEN ra ELSE re END AS edge_rarity FROM j)
-    SELECT cause, effect, tau, n_votes, edge_rarity, CAST(max_votes AS BIGINT) AS max_votes, round(least(1.0, n_votes * 1.0 / max_votes), 3) AS vote_fraction, round(least(1.0, n_votes * 1.0 / max_votes) * -log10(greatest(p, 1e-300)), 3) AS score, cause_count, effect_count
+    SELECT cause, effect, tau, n_votes, edge_rarity, CAST(max_votes AS BIGINT) AS max_votes, round(round(least(1.0, n_votes * 1.0 / max_votes), 4), 3) AS vote_fraction, round(round(least(1.0, n_votes * 1.0 / max_votes) * -log10(greatest(p, 1e-300)), 4), 3) AS score, cause_count, effect_count
     FROM o WHERE p <= CASE edge_rarity WHEN 'ULTRA_RARE' THEN 1e-4 WHEN 'RARE' THEN 1e-3 WHEN 'MODERATE' THEN 5e-3 ELSE 1e-2 END""")
 def link_scores(spark, sf_dir):
     s = L.scored(L.voted(group_links(spark, sf_dir), weighted=False, min_rows=20), B.distribution(tokens(spark, sf_dir)))
