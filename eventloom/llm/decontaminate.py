@@ -126,37 +126,41 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     return out
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows of ``docs`` with a struct column ``match``: n_words, n_hit, n_items, items, spans, contaminated."""
+#: Words in the union of sorted spans.
+_N_HIT = "coalesce(aggregate(m_spans, struct(0L AS n, 0 AS upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) AS n, greatest(a.upto, x.e) AS upto), a -> a.n), 0L)"
+
+
+def _n_words() -> Column:
+    """Words of text, counted without lower-casing."""
+    bare = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit("".join(c for c in _PARTING_CHARS if c not in _UPPER)))
+    return F.size(F.filter(F.split(bare, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), lambda w: w != "")).cast("long")
+
+
+def _judged(sized: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """``sized`` (with doc_id and m_n) with a struct column ``match``."""
     found = hits(docs, benchmark, window, k).select(F.col("doc_id").alias("m_doc"), F.col("spans").alias("m_spans"), F.col("items").alias("m_items"))
-    n_hit = "coalesce(aggregate(m_spans, struct(0L AS n, 0 AS upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) AS n, greatest(a.upto, x.e) AS upto), a -> a.n), 0L)"
-    counted = F.split(F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit("".join(c for c in _PARTING_CHARS if c not in _UPPER))), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    n_words = F.size(F.filter(counted, lambda w: w != "")).cast("long")
-    df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left").withColumn("m_n", n_words).withColumn("m_hit", F.expr(n_hit))
+    df = sized.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left").withColumn("m_hit", F.expr(_N_HIT))
     items = F.coalesce("m_items", F.array().cast("array<string>"))
-    match = F.struct(
+    return df.withColumn("match", F.struct(
         F.col("m_n").alias("n_words"), F.col("m_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.col("m_spans").alias("spans"),
         ((F.col("m_hit") > 0) & (TWENTIETHS * F.col("m_hit") >= F.col("m_n"))).alias("contaminated"),
-    )
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], match.alias("match"))
+    ))
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of ``docs`` with a struct column ``match``: n_words, n_hit, n_items, items, spans, contaminated."""
+    out = _judged(docs.withColumn("m_n", _n_words()), docs, benchmark, window, k)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "match")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest columns for every document; texts are read in the scan, never shuffled for documents without a meeting's columns."""
-    found = hits(docs, benchmark).select(F.col("doc_id").alias("m_doc"), F.col("spans").alias("m_spans"), F.col("items").alias("m_items"))
-    n_hit = "coalesce(aggregate(m_spans, struct(0L AS n, 0 AS upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) AS n, greatest(a.upto, x.e) AS upto), a -> a.n), 0L)"
-    counted = F.split(F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit("".join(c for c in _PARTING_CHARS if c not in _UPPER))), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    sized = docs.select("doc_id", F.size(F.filter(counted, lambda w: w != "")).cast("long").alias("n_words"))
-    df = sized.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left").withColumn("n_hit", F.expr(n_hit))
-    items = F.coalesce("m_items", F.array().cast("array<string>"))
-    return df.select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (TWENTIETHS * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    """The digest columns for every document; the last join carries ids and word counts, not texts."""
+    out = _judged(docs.select("doc_id", _n_words().alias("m_n")), docs, benchmark, WINDOW, K)
+    return out.select("doc_id", "match.n_words", "match.n_hit", "match.n_items", F.sha2(F.array_join("match.items", ","), 256).alias("items_sha256"), "match.contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, columns as they were; only their ids take part in the final join."""
+    """The documents that are not contaminated, columns as they were."""
     bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("m_doc")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left_anti")
 

@@ -6,15 +6,17 @@ rarest first. Of n shingles, two sets with Jaccard of 0.75 or more share at
 least l of their first n - ceil(0.75 n) + l ones; each document picks the l that
 its own sketch figures make cheapest, and a pair needs the smaller l of the two.
 
-Members of a shingle's list are not paired with each other. The least member is
-the list's pivot; every other is verified against it, which also leaves its
-shingles that the pivot has as a bit row. Members far from the pivot go on to
-the next round with a new pivot; what is left after ROUNDS rounds is paired by
-an equi-join that keeps pairs with enough matches. Members near a pivot are
-held against all its members of other components in blocks: the common bits
-plus the smaller rest bound the overlap, and the few pairs within the bound are
-verified. No pair of similar sets is lost: both are on the list of some shingle,
-and there the pair holds the pivot, or has a near member, or goes on.
+A shingle's list of up to SMALL members is paired by an equi-join that keeps
+pairs with enough matches. In longer lists members are not paired: the least
+member is the list's pivot; every other is verified against it, which also
+leaves its shingles that the pivot has as a bit row. Members far from the pivot
+go on to the next round with a new pivot; those left after ROUNDS rounds join
+the short lists. Members near a pivot are held against all its members of other
+components in blocks: the common bits plus the smaller rest bound the overlap,
+and the few pairs within the bound are verified. No pair of similar sets is
+lost: where one of its lists is long, the pair holds the pivot, or has a near
+member, or goes on; and if it goes on in all of them, or all are short, the
+equi-join counts every one of its matches.
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
 empty or wordless texts have none, link to nothing and are their own component;
@@ -38,7 +40,9 @@ from eventloom.llm.hashing import U64, mix, shingle_sets
 
 SIZE, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_ROWS, SKETCH_BLOCK = 18, 2, 4096
-MAX_MATCH, ROUNDS = 4, 2
+MAX_MATCH, ROUNDS, SMALL = 4, 2, 8
+#: Cost model of l: chance matches of a shingle beyond what the sketch tells, and rows' worth of a verification.
+CHANCE, VERIFY = 0.05, 50
 #: Share of a member's set that the pivot must hold for the member to count as near.
 NEAR = 0.4
 BLOCK = 512
@@ -113,21 +117,21 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float) -> tuple[np.ndarray,
     df = np.min([counts[r][at] for r, at in enumerate(_slots(s))], axis=0)
     order = np.lexsort((s, df))
     least = -(-PERCENT * n // 100)
-    extra = np.cumsum(np.maximum(df[order] - floor - 1, 0))
+    matches = np.cumsum(np.maximum(df[order] - floor - 1, 0) / n + CHANCE)
     best, cost = 1, None
     for m in range(1, MAX_MATCH + 1):
         length = n - least + m
         if length > n:
             break
-        # a row to shuffle for each shingle, a list to read for each, and verified pairs that fall as 1 / m
-        c = length + extra[length - 1] / n + 4 * extra[length - 1] / m
+        # a row for each shingle, and verified pairs, which fall as the square of l
+        c = length + VERIFY * matches[length - 1] / m**2
         if cost is None or c < cost:
             best, cost = m, c
     return s[order[: n - least + best]], best
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, l for every shingle of every document's prefix; equal sets met in one task are sent once."""
+    """token, name and nl (set size * 8 + l) for every shingle of every document's prefix; equal sets met in one task are sent once."""
     floor = float(counts.mean())
 
     def run(batches):
@@ -141,27 +145,36 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame
                     tokens.append(p)
                     lens.append(len(p))
                     names.append(name)
-                    ls.append(m)
+                    ls.append(len(s) * 8 + m)
                     sent.add(name)
                     if len(sent) > REMEMBER:
                         sent.clear()
             if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int32), lens)]
+                cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int64), lens)]
                 for i in range(0, len(cols[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names=["token", "name", "l"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names=["token", "name", "nl"])
 
-    return docs.select("text").mapInArrow(run, "token long, name long, l int")
+    return docs.select("text").mapInArrow(run, "token long, name long, nl long")
 
 
 def shared_tokens(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, l, p (the token's least name) of the tokens on the prefixes of two sets or more.
+    """token, name, nl, p (the token's least name) and long, of the tokens on the prefixes of two sets or more.
 
     One exchange. A text gives some dozens of tokens and equal sets are sent
     once a task, so no token has more than a small share of the rows.
     """
     w = W.partitionBy("token")
-    rows = prefixes(docs, counts, size).withColumns({"p": F.min("name").over(w), "q": F.max("name").over(w)})
-    return rows.where("p <> q").select("token", "name", "l", "p").distinct()
+    rows = prefixes(docs, counts, size).withColumns({"p": F.min("name").over(w), "q": F.max("name").over(w), "c": F.count(F.lit(1)).over(w)})
+    return rows.where("p <> q").select("token", "name", "nl", "p", (F.col("c") > SMALL).alias("long")).distinct()
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """a, b, c, least: pairs of sets of fitting sizes with the number of their common tokens in ``rows`` and the smaller l."""
+    a, b = (rows.select("token", F.col("name").alias(x), F.col("nl").alias("n" + x)) for x in "ab")
+    na, nb = F.shiftright("na", 3), F.shiftright("nb", 3)
+    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    both = a.join(b, "token").where((F.col("a") < F.col("b")) & fits)
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least(F.col("na").bitwiseAND(7), F.col("nb").bitwiseAND(7))).alias("least"))
 
 
 def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -251,22 +264,25 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     counts = sketch(blocks)
     lists = cut(shared_tokens(docs, counts, size))
     release(spark)
+    short, left = lists.where("NOT long"), lists.where("long").drop("long")
+    paired = cut(matches(short))
+    hopeful = paired.where("c >= least").select("a", "b")
+    names = left.select("name").unionByName(hopeful.select(F.col("a").alias("name"))).unionByName(hopeful.select(F.col("b").alias("name"))).distinct()
     keys = found.where("n > 0").groupBy("name").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
-    texts = cut(texts_of(docs, keys.join(lists.select("name").distinct(), "name").select("one.doc_id", "one.mark", "name")))
+    texts = cut(texts_of(docs, keys.join(names, "name").select("one.doc_id", "one.mark", "name")))
     release(spark)
-    stars, left = None, lists
+    stars = None
     for _ in range(ROUNDS):
         pairs = left.where("name <> p").select(F.col("p").alias("a"), F.col("name").alias("b")).distinct()
         star = cut(verified(pairs, texts, size))
         near = star.where(F.col("overlap") >= NEAR * F.col("nb")).select(F.col("a").alias("p"), F.col("b").alias("name"))
-        far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "l")
+        far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "nl")
         pivots = far.groupBy("token").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q").select("token", "p")
         left = cut(far.join(pivots, "token"))
         stars = star if stars is None else stars.unionByName(star)
         release(spark)
-    a, b = (left.select("token", F.col("name").alias(x), F.col("l").alias("l" + x)) for x in "ab")
-    many = a.join(b, "token").where("a < b").groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("c")).where("c >= least(la, lb)").select("a", "b")
-    first = stars.where(similar()).select("a", "b").unionByName(verified(many, texts, size).where(similar()).select("a", "b"))
+    every = paired.unionByName(matches(left)).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least")
+    first = stars.where(similar()).select("a", "b").unionByName(verified(every, texts, size).where(similar()).select("a", "b"))
     first = cut(first)
     roots = components(first)
     rest = cut(verified(_near_blocks(stars, roots), texts, size).where(similar()).select("a", "b"))
