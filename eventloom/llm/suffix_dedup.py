@@ -33,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import cut, release
 from eventloom.llm.hashing import STEPS, U64, Sums, mix
 
-LENGTH, GRAM, REACH = 400, 16, 256
+LENGTH, GRAM, REACH = 400, 16, 128
 
 
 LOW = U64(0xFFFFFFFF)
@@ -165,7 +166,9 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     edges = cut(settled(packed, ranks))
     release(spark)
     opened = edges.select("doc", F.explode(F.arrays_zip("at", "n1", "n2")).alias("x")).select("doc", "x.at", "x.n1", "x.n2")
-    again = _shared(opened, "n1", "n2").groupBy("doc").agg(F.collect_list("at").alias("more"))
+    # one exchange; the strings at the edges of a repeat have many names, so no name has more than a small share of the rows
+    counted = opened.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("n1", "n2"))).where("c > 1")
+    again = counted.groupBy("doc").agg(F.collect_list("at").alias("more"))
     one = edges.groupBy("doc").agg(F.first("sure").alias("sure"))  # rows with one doc_id and text are alike
     return one.join(again, "doc", "left").select("doc", "sure", "more")
 
