@@ -45,6 +45,8 @@ MAX_MATCH, ROUNDS, SMALL = 4, 2, 8
 CHANCE, VERIFY = 0.05, 50
 #: Share of a member's set that the pivot must hold for the member to count as near.
 NEAR = 0.4
+#: Share of it from which what the member has beyond the pivot is written out.
+SPELLED = 0.2
 BLOCK = 512
 #: Names that a task remembers, to send the prefix of equal sets once; bounds memory only.
 REMEMBER = 200_000
@@ -131,7 +133,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, floor: float) -> tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name and nl (set size * 8 + l) for every shingle of every document's prefix; equal sets met in one task are sent once."""
+    """token, name, nl (set size * 8 + l) and place in the order, for every shingle of every document's prefix; equal sets met in one task are sent once."""
     floor = float(counts.mean())
 
     def run(batches):
@@ -150,31 +152,37 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame
                     if len(sent) > REMEMBER:
                         sent.clear()
             if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int64), lens)]
+                cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int64), lens), np.concatenate([np.arange(k, dtype=np.int32) for k in lens])]
                 for i in range(0, len(cols[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names=["token", "name", "nl"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names=["token", "name", "nl", "at"])
 
-    return docs.select("text").mapInArrow(run, "token long, name long, nl long")
+    return docs.select("text").mapInArrow(run, "token long, name long, nl long, at int")
 
 
 def shared_tokens(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, nl, p (the token's least name) and long, of the tokens on the prefixes of two sets or more.
+    """token, name, nl, at, p (the token's least name) and long, of the tokens on the prefixes of two sets or more.
 
     One exchange. A text gives some dozens of tokens and equal sets are sent
     once a task, so no token has more than a small share of the rows.
     """
     w = W.partitionBy("token")
     rows = prefixes(docs, counts, size).withColumns({"p": F.min("name").over(w), "q": F.max("name").over(w), "c": F.count(F.lit(1)).over(w)})
-    return rows.where("p <> q").select("token", "name", "nl", "p", (F.col("c") > SMALL).alias("long")).distinct()
+    return rows.where("p <> q").select("token", "name", "nl", "at", "p", (F.col("c") > SMALL).alias("long")).distinct()
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """a, b, c, least: pairs of sets of fitting sizes with the number of their common tokens in ``rows`` and the smaller l."""
-    a, b = (rows.select("token", F.col("name").alias(x), F.col("nl").alias("n" + x)) for x in "ab")
+    """a, b, c, least: pairs of sets of fitting sizes with the number of their common tokens in ``rows`` and the smaller l.
+
+    A pair's own prefixes are shorter than those sent: with the overlap that its
+    two sizes call for, only the first size - overlap + l shingles of each count.
+    """
+    a, b = (rows.select("token", F.col("name").alias(x), F.col("nl").alias("n" + x), F.col("at").alias("at" + x)) for x in "ab")
     na, nb = F.shiftright("na", 3), F.shiftright("nb", 3)
-    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    least = F.least(F.col("na").bitwiseAND(7), F.col("nb").bitwiseAND(7))
+    overlap = F.ceil((PERCENT * (na + nb)) / F.lit(100 + PERCENT))
+    fits = (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (F.col("ata") < na - overlap + least) & (F.col("atb") < nb - overlap + least)
     both = a.join(b, "token").where((F.col("a") < F.col("b")) & fits)
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least(F.col("na").bitwiseAND(7), F.col("nb").bitwiseAND(7))).alias("least"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(least).alias("least"))
 
 
 def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
@@ -192,7 +200,7 @@ def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(a, b) with both sizes, their overlap, and b's share of a's sorted members as packed bits.
+    """(a, b) with both sizes, their overlap, b's share of a's sorted members as packed bits, and b's other members (null where the overlap is small).
 
     Compressed texts travel, a quarter the size of their sets, which are made again where pairs meet.
     """
@@ -207,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 packed = dict(zip(a, part.column(2), strict=True)) | dict(zip(b, part.column(3), strict=True))
                 made = dict(zip(packed, shingle_sets([open_(x.as_py()) for x in packed.values()], size), strict=True))
-                na, nb, over, bits = [], [], [], []
+                na, nb, over, bits, rest = [], [], [], [], []
                 for x, y in zip(a, b, strict=True):
                     p, q = made[x], made[y]
                     hit = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
@@ -215,9 +223,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
                     nb.append(len(q))
                     over.append(int(hit.sum()))
                     bits.append(np.packbits(hit).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, over)), pa.array(bits, pa.binary())], names=["a", "b", "na", "nb", "overlap", "bits"])
+                    rest.append(np.setdiff1d(q, p, assume_unique=True).tobytes() if over[-1] >= SPELLED * len(q) else None)
+                cols = [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, over)), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "na", "nb", "overlap", "bits", "rest"])
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, overlap long, bits binary")
+    return both.mapInArrow(run, "a long, b long, na long, nb long, overlap long, bits binary, rest binary")
 
 
 def similar(percent: int = PERCENT) -> Column:
@@ -225,14 +235,14 @@ def similar(percent: int = PERCENT) -> Column:
 
 
 def _near_blocks(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of one pivot, of different components and one of them near, that the bit rows can't rule out."""
+    """Pairs of members of one pivot, of different components and one of them near, that are similar, or, where ``sure`` is false, may be."""
     members = stars.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     counted = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counted.groupBy("a").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     main = main.select("a", F.col("top.root").alias("main"), F.col("size").alias("members"), (F.col("size") - F.col("top.c")).alias("strays"))
     rows = members.join(main, "a").withColumn("stray", F.col("root") != F.col("main"))
     nb, ns = F.ceil(F.col("members") / BLOCK).cast("int"), F.greatest(F.ceil(F.col("strays") / BLOCK), F.lit(1)).cast("int")
-    cols = ["a", "b", "nb", "overlap", "bits", "root"]
+    cols = ["a", "b", "nb", "overlap", "bits", "rest", "root"]
     place = F.xxhash64("b")
     right = rows.select(*cols, F.lit(False).alias("left"), F.pmod(place, nb).alias("j"), F.explode(F.sequence(F.lit(0), ns - 1)).alias("i"))
     left = rows.where("stray").select(*cols, F.lit(True).alias("left"), F.pmod(place, ns).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("j"))
@@ -240,21 +250,41 @@ def _near_blocks(stars: DataFrame, roots: DataFrame) -> DataFrame:
 
     def hold(pdf: pd.DataFrame) -> pd.DataFrame:
         u, x = pdf[pdf["left"]], pdf[~pdf["left"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sure": np.empty(0, bool)})
         if u.empty or x.empty:
             return none
         rows = lambda d: np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in d["bits"]]), axis=1).astype(np.float32)
         nu, nx = u["nb"].to_numpy()[:, None], x["nb"].to_numpy()[None, :]
         ou, ox = u["overlap"].to_numpy()[:, None], x["overlap"].to_numpy()[None, :]
-        common = (rows(u) @ rows(x).T).astype(np.int64) + np.minimum(nu - ou, nx - ox)
-        common = np.minimum(common, np.minimum(nu, nx))
+        known = u["rest"].notna().to_numpy()[:, None] & x["rest"].notna().to_numpy()[None, :]
+        common = (rows(u) @ rows(x).T).astype(np.int64) + np.where(known, _both_have(u["rest"], x["rest"]), np.minimum(nu - ou, nx - ox))
         near = (ou >= NEAR * nu) | (ox >= NEAR * nx)
         ok = near & (100 * common >= PERCENT * (nu + nx - common)) & (u["root"].to_numpy()[:, None] != x["root"].to_numpy()[None, :])
         i, j = np.nonzero(ok)
         p, q = u["b"].to_numpy()[i], x["b"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}) if len(i) else none
-
-    return both.groupBy("a", "i", "j").applyInPandas(hold, "a long, b long").distinct()
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "sure": known[i, j]}) if len(i) else none
+
+    return both.groupBy("a", "i", "j").applyInPandas(hold, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def _both_have(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """For each pair of a left and a right set, how many members they share; absent sets share none."""
+    sides = []
+    for side in (left, right):
+        sets = [np.empty(0, U64) if s is None else np.frombuffer(s, U64) for s in side]
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((sides[0][2], sides[1][2]), np.float32)
+    for k in range(0, len(shared), 4096):
+        part, ms = shared[k : k + 4096], []
+        for values, owner, n in sides:
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            m = np.zeros((n, len(part)), np.float32)
+            m[owner[hit], at[hit]] = 1
+            ms.append(m)
+        out += ms[0] @ ms[1].T
+    return out.astype(np.int64)
 
 
 def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +306,7 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         pairs = left.where("name <> p").select(F.col("p").alias("a"), F.col("name").alias("b")).distinct()
         star = cut(verified(pairs, texts, size))
         near = star.where(F.col("overlap") >= NEAR * F.col("nb")).select(F.col("a").alias("p"), F.col("b").alias("name"))
-        far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "nl")
+        far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "nl", "at")
         pivots = far.groupBy("token").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q").select("token", "p")
         left = cut(far.join(pivots, "token"))
         stars = star if stars is None else stars.unionByName(star)
@@ -285,7 +315,9 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     first = stars.where(similar()).select("a", "b").unionByName(verified(every, texts, size).where(similar()).select("a", "b"))
     first = cut(first)
     roots = components(first)
-    rest = cut(verified(_near_blocks(stars, roots), texts, size).where(similar()).select("a", "b"))
+    held = cut(_near_blocks(stars, roots))
+    rest = held.where("sure").select("a", "b").unionByName(verified(held.where("NOT sure"), texts, size).where(similar()).select("a", "b"))
+    rest = cut(rest)
     release(spark)
     if rest.isEmpty():
         return found, roots
