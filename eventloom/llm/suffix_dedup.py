@@ -108,8 +108,9 @@ def anchors_of(docs: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, *pair: str) -> DataFrame:
-    """The rows whose rank pair occurs more than once; the pair is named by its least bearer."""
-    counted = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    """The rows whose rank pair occurs more than once."""
+    # the counts are cut off, so that both sides of the join are dealt anew and AQE can split a hot pair
+    counted = cut(rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     return rows.join(counted, [*pair])
 
 
@@ -119,9 +120,9 @@ def doubled(rows: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     rows = cut(_shared(rows, "r1", "r2"))
     release(rows.sparkSession)
-    last = rows.groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("lead"))
+    last = cut(rows.groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("lead")))
     # only groups with an open member need their shared strings spelled out
-    need = last.groupBy("r1", "r2").agg(F.max(F.col("c") == 1).alias("some_open"))
+    need = cut(last.groupBy("r1", "r2").agg(F.max(F.col("c") == 1).alias("some_open")))
     ranked = rows.join(last, ["r1", "r2", "r3"]).join(need, ["r1", "r2"])
     state = F.when(F.col("c") == 1, 0).when(F.col("some_open") & (F.struct("doc", "place") == F.col("lead")), 1).otherwise(2)
     return ranked.select("doc", "place", state.alias("state"))
