@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +84,62 @@ def permutation_test(observed: DataFrame, surrogates: DataFrame, alpha: float |
     return tested.withColumn("significant", F.col("p_value") < (bonferroni() if alpha is None else alpha))
 
 
+def surrogates_of(x: np.ndarray, y: np.ndarray, tau: int, seeds: list[tuple[int, ...] | None], k: int = HISTORY) -> np.ndarray:
+    """Transfer entropy at ``tau`` with the source as it is (seed None) or permuted by a generator of that seed.
+
+    Only cells that hold the source change with a permutation; the others are
+    summed up once.
+    """
+    n = len(x) - tau
+    source, target = x[: len(x) - tau], y[tau:]
+    if n <= k:
+        return np.zeros(len(seeds))
+    h = np.unique(np.stack([target[k - i : n - i] for i in range(k, 0, -1)], axis=1), axis=0, return_inverse=True)[1].ravel()
+    hy = np.unique(np.stack([h, target[k:]], axis=1), axis=0, return_inverse=True)[1].ravel()
+    symbols, codes = np.unique(source, return_inverse=True)
+    weight = np.concatenate([[0.0], (m := np.arange(1, n + 1)) * np.log2(m)])  # m log2 m of every count there can be
+    fixed = weight[np.bincount(h)].sum() - weight[np.bincount(hy)].sum()
+    out = []
+    for seed in seeds:
+        at = (codes if seed is None else np.random.default_rng(seed).permutation(codes))[k - 1 : n - 1].astype(np.int64)
+        cells = weight[np.bincount(hy * len(symbols) + at)].sum() - weight[np.bincount(h * len(symbols) + at)].sum()
+        out.append(max(0.0, (cells + fixed) / (n - k)))
+    return np.array(out)
+
+
+def permutation_tests(series: DataFrame, wanted: DataFrame, times: int = SHUFFLES, alpha: float | None = None, k: int = HISTORY, block: int = 50) -> DataFrame:
+    """cause, effect, tau, te, p_value, significant for each wanted (cause, effect, tau), by ``times`` permutations of the source.
+
+    series: as for ``transfer_entropy``. Each permutation has the seed (cause,
+    effect, number), so blocks of them are tasks of their own and every run has
+    the same ones. Series travel as one array a token; their length is the range
+    of bins, whatever the number of events.
+    """
+    xs = F.transform(F.array_sort(F.collect_list(F.struct("bin", "x"))), lambda s: s["x"].cast("int"))
+    arrays = series.groupBy("token").agg(xs.alias("xs"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(times - 1), F.lit(block)))
+    asked = wanted.select("cause", "effect", F.col("tau").cast("int").alias("tau"), first.alias("low"))
+    asked = asked.repartition(4 * series.sparkSession.sparkContext.defaultParallelism, "cause", "effect", "low")  # small rows with much work: a number given, so that they are not put together again
+    side = lambda c: F.broadcast(arrays.select(F.col("token").alias(c), F.col("xs").alias(f"xs_{c}")))
+    rows = asked.join(side("cause"), "cause").join(side("effect"), "effect").select("cause", "effect", "tau", "low", "xs_cause", "xs_effect")
+
+    def run(batches):
+        for batch in batches:
+            te, reached, done = [], [], []
+            for c, e, tau, low, x, y in zip(*batch.columns, strict=True):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                numbers = range(low.as_py(), min(low.as_py() + block, times))
+                got = surrogates_of(x, y, tau.as_py(), [None, *((c.as_py(), e.as_py(), i) for i in numbers)], k)
+                te.append(got[0])
+                reached.append(int((got[1:] >= got[0] - 1e-12).sum()))
+                done.append(len(numbers))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(pa.int32()) for i in range(3)), pa.array(te, pa.float64()), pa.array(reached, pa.int64()), pa.array(done, pa.int64())], names=["cause", "effect", "tau", "te", "reached", "done"])
+
+    blocks = rows.mapInArrow(run, "cause int, effect int, tau int, te double, reached long, done long")
+    tested = blocks.groupBy("cause", "effect", "tau").agg(F.max("te").alias("te"), (F.sum("reached") / F.sum("done")).alias("p_value"))
+    return tested.withColumn("significant", F.col("p_value") < (bonferroni() if alpha is None else alpha))
+
+
 def transfer_entropy_of(x: list[int], y: list[int], tau: int, k: int = HISTORY) -> float:
     """The kernel over two short series in plain Python: for tests and for series that are already local."""
     n = len(x)

@@ -437,6 +437,28 @@ def te_capped_lag_search(spark, sf_dir):
     return each_window(spark, sf_dir, lambda s, w: E.best_lag(capped_entropies(s, w))).withColumn("te", F.round("te", 6))
 
 
+@query()
+def te_capped_permutation(spark, sf_dir):
+    """Every ordered pair at its best lag, SHUFFLES permutations each."""
+    found = each_window(spark, sf_dir, lambda s, w: E.permutation_tests(s, E.best_lag(capped_entropies(s, w))))
+    return found.withColumns({c: F.round(c, 6) for c in ("te", "p_value")})
+
+
+_CORRELATIONS = "SELECT a.token AS cause, e.token AS effect, CAST(tau AS INTEGER) AS tau, round(corr(a.x, e.x), 6) AS r FROM (SELECT DISTINCT tau FROM wanted) w, se a JOIN se e ON a.token <> e.token WHERE a.bin = e.bin - tau GROUP BY ALL"
+
+
+def capped_correlations(series_: DataFrame, window: str) -> DataFrame:
+    wanted = E.lags(E.pairs(series_.select("token").distinct()), 1, E.WINDOWS[window][1])
+    effect = series_.select(F.col("token").alias("effect"), F.col("bin").alias("to"), F.col("x").alias("y"))
+    both = effect.join(F.broadcast(wanted), "effect").withColumn("bin", F.col("to") - F.col("tau")).join(series_.withColumnRenamed("token", "cause"), ["cause", "bin"])
+    return both.groupBy("cause", "effect", "tau").agg(F.round(P.lagged_correlation("x", "y"), 6).alias("r"))
+
+
+@query(_each_window(_CORRELATIONS))
+def lagged_correlations(spark, sf_dir):
+    return each_window(spark, sf_dir, capped_correlations)
+
+
 # --- sampling and graphs -----------------------------------------------------
 
 

@@ -3,8 +3,10 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 
+from eventloom.operators import entropy as E
 from eventloom.plans import registry
 
 
@@ -27,3 +29,27 @@ def test_counts_keep_their_size_up_to_the_cap(spark, driven):
     assert {r.te for r in registry.te_all_lags(spark, driven).where("cause = 0 AND effect = 1").collect()} == {0.0}
     best = {(r.cause, r.effect): r for r in registry.te_capped_lag_search(spark, driven).where("at = '10min'").collect()}
     assert best[0, 1].tau == 2 and best[0, 1].te > 1  # the kernel reads the source one step before
+
+
+def test_surrogates_match_the_kernel():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 4, 300), rng.integers(0, 3, 300)
+    for tau in (1, 5):
+        got = E.surrogates_of(x, y, tau, [None, (0, 1, 7)])
+        mixed = np.concatenate([np.random.default_rng((0, 1, 7)).permutation(x[: 300 - tau]), x[300 - tau :]])
+        assert got == pytest.approx([E.transfer_entropy_of(s.tolist(), y.tolist(), tau) for s in (x, mixed)], abs=1e-9)
+    assert E.surrogates_of(x[:4], y[:4], 1, [None]) == [0.0]
+
+
+def test_every_pair_is_tested_at_its_best_lag(spark, driven):
+    got = {(r.cause, r.effect): r for r in registry.te_capped_permutation(spark, driven).where("at = '10min'").collect()}
+    assert set(got) == {(a, b) for a in (0, 1, 2) for b in (0, 1, 2) if a != b}  # a single pair before
+    assert got[0, 1].tau == 2 and got[0, 1].p_value == 0 and got[0, 1].significant
+    assert all(round(r.p_value * 1000, 6) % 1 == 0 for r in got.values()) and not got[2, 0].significant
+    best = {(r.cause, r.effect): (r.tau, r.te) for r in registry.te_capped_lag_search(spark, driven).where("at = '10min'").collect()}
+    assert {k: (r.tau, r.te) for k, r in got.items()} == best
+
+
+def test_correlations_of_every_pair_and_lag(spark, driven):
+    got = {(r.cause, r.effect, r.tau): r.r for r in registry.lagged_correlations(spark, driven).where("at = '10min'").collect()}
+    assert len(got) == 6 * 6 and got[0, 1, 3] == 1.0 and abs(got[0, 1, 2]) < 0.5
