@@ -6,8 +6,10 @@ row a task. Lines whose estimate is near the threshold get an exact distinct
 count. A line on ``MIN_SITES`` sites or more is boilerplate: all but its first
 occurrence (smallest doc_id, then place) go.
 
-Only lines of ``MIN_LINE_WORDS`` words or more take part, so that short lines of
-running text stay. Two seeded 64-bit hashes name a line.
+Lines of fewer than ``MIN_LINE_WORDS`` words, which running text may repeat by
+chance, are boilerplate on ``SHORT_SITES`` sites or more. ``op3_line_dedup`` leaves
+them out altogether (``short_sites`` None), because its SQL does; the pipeline and
+``op3_line_dedup_all`` do not. Two seeded 64-bit hashes name a line.
 
 Defined results: null text stays null and has no lines; a null site counts as
 no site; rows of one doc_id share their removed places; extra columns are kept.
@@ -19,45 +21,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SITES, MIN_LINE_WORDS = 10, 4
+SHORT_SITES = 15
 #: Share of the threshold around it within which the sketch is not trusted; over five standard errors at this precision.
 BAND, LOG_K = 0.2, 12
 
 _SPACES = " \t\n\x0b\f\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, short_sites: int | None) -> DataFrame:
     rows = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     rows = rows.select("doc_id", "source", "pos", F.trim("raw", F.lit(_SPACES)).alias("line"))
-    rows = rows.where(F.size(F.split("line", r"[\x20\x09-\x0D]+", -1)) >= MIN_LINE_WORDS)
-    return rows.select("doc_id", "source", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    long = F.size(F.split("line", r"[\x20\x09-\x0D]+", -1)) >= MIN_LINE_WORDS
+    rows = rows.where(long if short_sites is None else F.col("line") != "")
+    return rows.select("doc_id", "source", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), long.alias("long"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2 and first occurrence of the lines on at least ``min_sites`` sites."""
-    lines = _lines(docs)
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
+    """h1, h2 and first occurrence of the lines on at least ``min_sites`` sites, ``short_sites`` for short ones."""
+    lines = _lines(docs, short_sites)
     spread = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce("source", F.lit("\x00")), F.lit(LOG_K))).alias("est"),
         F.max(F.col("source").isNull().cast("int")).alias("nulls"),
         F.min(F.struct("doc_id", "pos")).alias("first"),
+        F.max("long").alias("long"),
     ).withColumn("est", F.col("est") - F.col("nulls"))
-    low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
+    need = F.lit(min_sites) if short_sites is None else F.when(F.col("long"), min_sites).otherwise(short_sites)
+    low, high = need * (1 - BAND), need * (1 + BAND)
     wide = spread.where(F.col("est") >= low)
     near = wide.where(F.col("est") <= high).select("h1", "h2", "first")
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "first", "source").agg(F.lit(1).alias("one"))
-    exact = exact.groupBy("h1", "h2", "first").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "long", "first", "source").agg(F.lit(1).alias("one"))
+    exact = exact.groupBy("h1", "h2", "long", "first").agg(F.count("source").alias("sites")).where(F.col("sites") >= need)
     return wide.where(F.col("est") > high).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
 
 
-def removed_places(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def removed_places(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
     """doc_id with the places of the lines that go."""
-    hit = _lines(docs).join(boilerplate(docs, min_sites), ["h1", "h2"])
+    hit = _lines(docs, short_sites).join(boilerplate(docs, min_sites, short_sites), ["h1", "h2"])
     hit = hit.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return hit.groupBy(F.col("doc_id").alias("r_doc")).agg(F.collect_set("pos").alias("r_at"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
     """The rows of ``docs`` with a struct column ``line_dedup``: n_lines, n_removed, text."""
-    gone = removed_places(docs, min_sites)
+    gone = removed_places(docs, min_sites, short_sites)
     df = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("r_doc")), "left")
     stay = F.expr("array_except(sequence(0, size(split(text, '\\n', -1)) - 1), r_at)")
     df = df.withColumn("r_lines", F.split("text", "\n", -1)).withColumn("r_stay", F.when(F.col("r_at").isNotNull(), stay))
@@ -67,15 +73,15 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(n.alias("n_lines"), removed.alias("n_removed"), text.alias("text")).alias("line_dedup"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    out = cleaned(docs.select("doc_id", "text", "source"))
+def report(docs: DataFrame, short_sites: int | None = None) -> DataFrame:
+    out = cleaned(docs.select("doc_id", "text", "source"), short_sites=short_sites)
     kept = F.coalesce("line_dedup.text", F.lit(""))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def drop_boilerplate(docs: DataFrame) -> DataFrame:
     """The documents without boilerplate lines; those that had words and are left with none go."""
-    out = cleaned(docs)
+    out = cleaned(docs, short_sites=SHORT_SITES)
     had = F.col("line_dedup.n_removed") > 0
     words = F.col("line_dedup.text").rlike(r"[^\x20\x09-\x0D]")
     keep = out.where(~had | words)
@@ -95,3 +101,8 @@ ORACLE_SQL = rf"""
     k AS (SELECT doc_id, max(n) AS n, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
     SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
     FROM documents LEFT JOIN k USING (doc_id)"""
+
+#: The same with short lines in it, under their own threshold.
+ALL_ORACLE_SQL = ORACLE_SQL.replace(f"WHERE len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) >= {MIN_LINE_WORDS}", "WHERE line <> ''").replace(
+    f">= {MIN_SITES}", f">= CASE WHEN len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) >= {MIN_LINE_WORDS} THEN {MIN_SITES} ELSE {SHORT_SITES} END"
+)

@@ -27,6 +27,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines of every length that have a word."""
+    return lines.report(read(spark, sf_dir, "documents"), lines.SHORT_SITES)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and items of every whole text held against every benchmark item."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_all": op3_line_dedup_all,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE_SQL,
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op3_line_dedup_all": lines.ALL_ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_url_filter": urls.ORACLE_SQL,
     "op10_warc": """
