@@ -324,17 +324,38 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     return found, components(first.unionByName(rest))
 
 
-def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _grouped(docs: DataFrame, size: int) -> DataFrame:
+    """Surveyed documents (doc_id, mark, n, name) with the root of their component, null where they have no words."""
     found, roots = links(docs, size)
     rows = found.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    rows = rows.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
+    return rows.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
+
+
+def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    rows = _grouped(docs, size)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component, columns as they were; documents without words stay."""
-    go = join(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("g_doc")).distinct()
-    return docs.join(go, F.col("doc_id") == F.col("g_doc"), "left_anti")
+    """Exactly one row of each component, columns as they were; documents without words stay.
+
+    The row with the least doc_id stays, a null one only where all are null; of
+    several with that doc_id the one with the least hash of its text, and of rows
+    that repeat that text the one with the least hash of the whole row.
+    """
+    rows = cut(_grouped(docs.select("doc_id", "text"), SIZE).where("root IS NOT NULL"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = rows.groupBy("root").agg(F.min(key).alias("least"))
+    keys = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).join(least, "root")
+    keys = keys.withColumn("first", key.eqNullSafe(F.col("least"))).where("NOT first OR copies > 1")
+    keys = keys.select(F.col("doc_id").alias("g_doc"), F.col("mark").alias("g_mark"), F.col("first").alias("g_first"))
+    held = docs.withColumn("g_at", F.xxhash64("text"))
+    met = held.join(keys, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("g_at") == F.col("g_mark")), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # rows that repeat a doc_id and its text: few columns of few documents, met in partial sums
+    whole = F.struct(*names)
+    again = met.where("g_first").groupBy("g_doc", "g_mark").agg(F.min_by(whole, F.xxhash64(whole)).alias("g_row")).select("g_row.*")
+    return met.where("g_first IS NULL").select(*names).unionByName(again)
