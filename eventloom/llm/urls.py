@@ -2,7 +2,7 @@
 
 Dated list events (an entry is added or removed) become validity intervals; each
 capture meets the intervals of its own keys that hold at its fetch time. Keys of
-a capture are its whole URL, every path prefix, its host and every parent
+a capture are its URL with and without query string and port, every path prefix, its host and every parent
 domain, so the join is an equi-join on (kind, entry) with a range on time: no
 scan of the list per capture. Of the entries that hold, the most specific
 decides; on a tie allow beats block.
@@ -30,6 +30,9 @@ FOREVER = 1 << 62
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)"
 
+PORT = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?[^/:?#]*(:[0-9]+)"
+QUERY = r"^[^?#]*(\?[^#]+)"
+
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
@@ -39,6 +42,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, PATH, 1)
 
 
+def port_of(url: Column) -> Column:
+    """The port with its colon, or nothing."""
+    return F.regexp_extract(url, PORT, 1)
+
+
+def query_of(url: Column) -> Column:
+    """The query string with its question mark, or nothing."""
+    return F.regexp_extract(url, QUERY, 1)
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """list, kind, entry, verdict, valid_from, valid_to (exclusive) of events (list, kind, entry, verdict, action, at)."""
     w = W.partitionBy("list", "kind", "entry").orderBy("at", F.when(F.col("action") == "remove", 0).otherwise(1), "verdict")
@@ -46,7 +59,7 @@ def intervals(events: DataFrame) -> DataFrame:
     return rows.where((F.col("action") == "add") & (F.col("valid_to") > F.col("at"))).select("list", "kind", "entry", "verdict", F.col("at").alias("valid_from"), "valid_to")
 
 
-def keys_of(host: Column, path: Column) -> Column:
+def keys_of(host: Column, path: Column, port: Column, query: Column) -> Column:
     """Every (kind, entry) that can name a URL."""
     labels, parts = F.split(host, "\\.", -1), F.filter(F.split(path, "/", -1), lambda p: p != "")
     key = lambda kind, entry: F.struct(F.lit(kind).alias("kind"), entry.alias("entry"))
@@ -54,14 +67,16 @@ def keys_of(host: Column, path: Column) -> Column:
     domains = F.transform(ends, lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     depths = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
     prefixes = F.transform(depths, lambda i: key("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
-    return F.when(host != "", F.concat(F.array(key("host", host), key("url", F.concat(host, path))), F.array_distinct(domains), prefixes))
+    urls = F.array_distinct(F.array(*[key("url", F.concat(host, p, path, q)) for p in (F.lit(""), port) for q in (F.lit(""), query)]))
+    return F.when(host != "", F.concat(F.array(key("host", host)), urls, F.array_distinct(domains), prefixes))
 
 
 def decide(captures: DataFrame, lists: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """The captures with a struct column ``url_filter``: blocked, n_active, kind and entry that decided."""
     rows = captures.withColumn("u_row", F.struct(F.col(url), F.col(at))).withColumn("u_host", host_of(F.col(url))).withColumn("u_path", path_of(F.col(url)))
     seen = rows.select("u_row", "u_host", "u_path").groupBy("u_row", "u_host", "u_path").agg(F.lit(1).alias("one"))
-    keyed = seen.select("u_row", F.explode(keys_of(F.col("u_host"), F.col("u_path"))).alias("k")).select("u_row", "k.kind", "k.entry")
+    whole = F.col("u_row")[url]
+    keyed = seen.select("u_row", F.explode(keys_of(F.col("u_host"), F.col("u_path"), port_of(whole), query_of(whole))).alias("k")).select("u_row", "k.kind", "k.entry")
     met = keyed.join(lists, ["kind", "entry"]).where((F.col("valid_from") <= F.col(f"u_row.{at}")) & (F.col(f"u_row.{at}") < F.col("valid_to")))
     rank = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     weight = F.struct(rank[F.col("kind")].alias("rank"), F.length("entry").alias("length"), (F.col("verdict") == "allow").alias("allows"), "kind", "entry")
