@@ -657,7 +657,7 @@ def effect_table(spark, sf_dir):
 
 @query()
 def effect_intervals(spark, sf_dir):
-    return X.effects(short_windows(spark, sf_dir), n_bootstrap=100)
+    return X.effects(windowed(spark, sf_dir), n_bootstrap=500)
 
 
 @query(f"WITH {T}, {_NEXT}, {_MODEL} SELECT token AS cause, next_token AS effect, round(p, 6) AS ate FROM mo WHERE token <> next_token AND p >= 0.1")
