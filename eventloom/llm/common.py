@@ -1,45 +1,76 @@
-"""What the operators of this subpackage share: reading, cutting lineage, freeing finished shuffles."""
+"""What the operators of this subpackage share: reading, cutting lineage, names of rows."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
+import atexit
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark setting under which an action's shuffle files go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local one only where none is set, as in tests."""
+    """The checkpoint folder of the session, which driver and executors share; an error where none is set."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
-        path = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
     return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder; lost executors cannot take it away."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back; lost executors cannot take it away. Shuffle files that led to it go at once.
+
+    The table stays until ``drop`` or the end of the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if not _WRITTEN:
+        atexit.register(_drop_all)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out.table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t.table_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _WRITTEN.pop(path, None)
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _drop_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        with suppress(Exception):  # the session may have ended
+            remove(spark, path)
 
 
 def where_held(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on costly columns without pushing their definitions below the projections that hold them."""
     held = df.withColumn("held_row", F.monotonically_increasing_id())
     return held.where(condition & (F.col("held_row") >= 0)).drop("held_row")
-
-
-def release(spark: SparkSession) -> None:
-    """Have Spark's cleaner drop shuffle files of plans that are no longer referenced, and give it a moment."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.6)

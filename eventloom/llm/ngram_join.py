@@ -1,340 +1,348 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is its set of shingles; equal sets form a class, and classes are
-joined. Shingles are ordered by a count sketch of the whole corpus (fixed size),
-rarest first. Of n shingles, two sets with Jaccard of 0.75 or more share at
-least l of their first n - ceil(0.75 n) + l ones; each document picks the l that
-its own sketch figures make cheapest, and a pair needs the smaller l of the two.
-
-A shingle's list of up to SMALL members is paired by an equi-join that keeps
-pairs with enough matches. In longer lists members are not paired: the least
-member is the list's pivot; every other is verified against it, which also
-leaves its shingles that the pivot has as a bit row. Members far from the pivot
-go on to the next round with a new pivot; those left after ROUNDS rounds join
-the short lists. Members near a pivot are held against all its members of other
-components in blocks: the common bits plus the smaller rest bound the overlap,
-and the few pairs within the bound are verified. No pair of similar sets is
-lost: where one of its lists is long, the pair holds the pivot, or has a near
-member, or goes on; and if it goes on in all of them, or all are short, the
-equi-join counts every one of its matches.
+joined. Shingles are ordered by their exact number of classes, rarest first. Of
+n shingles, two sets with Jaccard of 0.75 or more share at least l of their
+first n - ceil(0.75 n) + l ones; each document picks the l that the frequencies
+make cheapest, a pair needs the smaller l of the two, and is verified only if it
+has that many. Shingles of one class only meet nothing and are never dealt out;
+a set whose shortest prefix holds no others is linked to nothing.
+
+Frequencies: classes lie in packs of bounded size. A pack sends each of its
+shingles once, with its count there, to a bucket of the hash range, and gets the
+bucket's totals back in the order sent. So a frequent shingle costs a row for
+each pack, not for each document.
+
+Links: a shingle's list is dealt by the components that its members have so far.
+Members outside the largest component are held against one member of it, all
+lists at once and counted before verification, again and again with other
+members while that makes lists shorter. What then remains, members outside the
+largest component against all of other components, is joined at the first
+shingle that both have, if sizes, places and signatures allow, and verified. Pairs within one component are never made, so a group of near
+copies costs rows in proportion to its size; no link between components is lost.
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
 empty or wordless texts have none, link to nothing and are their own component;
-equal sets share a class; extra columns are ignored. Sets are named by 64-bit
-sums of mixed shingle hashes.
+equal sets share a class, also rows that repeat an id; the least id of a
+component that holds ids and nulls is the least id; an empty table gives no
+rows; extra columns are ignored; very long texts are handled whole, one text
+being the least unit of memory. Sets are named by two 64-bit sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, release
+from eventloom.llm.common import cut, drop
 from eventloom.llm.components import components
-from eventloom.llm.hashing import U64, mix, shingle_sets
+from eventloom.llm.hashing import STEPS, U64, mix, shingle_sets
 
 SIZE, PERCENT = 5, 75
-SKETCH_BITS, SKETCH_ROWS, SKETCH_BLOCK = 18, 2, 4096
-MAX_MATCH, ROUNDS, SMALL = 4, 2, 8
-#: Cost model of l: chance matches of a shingle beyond what the sketch tells, and rows' worth of a verification.
-CHANCE, VERIFY = 0.05, 50
-#: Share of a member's set that the pivot must hold for the member to count as near.
-NEAR = 0.4
-#: Share of it from which what the member has beyond the pivot is written out.
-SPELLED = 0.2
-BLOCK = 512
-#: Names that a task remembers, to send the prefix of equal sets once; bounds memory only.
+MAX_MATCH = 4
+#: Cost model of l: rows' worth of a verification.
+VERIFY = 50
+#: Names that a task remembers, to send equal sets once; bounds memory only.
 REMEMBER = 200_000
+#: Bytes of text and sets of a pack, and shingles of a bucket.
+PACK_BYTES, PACK_SETS, BUCKET = 1 << 20, 1 << 12, 1 << 20
+#: Bits of a shingle that are counted; equal prefixes only make a shingle look more frequent.
+BITS = 48
+#: Bits of a set's signature: the parities of its shingles by hash. Two sets differ by as many shingles at least as their signatures do by bits.
+SIGNATURE = 1024
+#: Another round of single members is worth it while the remaining pairs are more than RATIO rows for each row, and fell below FALL of what they were.
+RATIO, FALL = 2, 0.7
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def _name(s: np.ndarray) -> int:
-    """Name of a set as a signed 64-bit number."""
-    return int(mix(mix(s).sum(dtype=U64, keepdims=True) + U64(len(s))).view(np.int64)[0])
-
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """128-bit name of a set as two signed numbers."""
+    return tuple(int(mix(mix(s * k + k).sum(dtype=U64, keepdims=True) + U64(len(s))).view(np.int64)[0]) for k in STEPS[10:12])
 
-def _slots(s: np.ndarray) -> list[np.ndarray]:
-    return [((s >> U64(64 - SKETCH_BITS * (r + 1))) & U64((1 << SKETCH_BITS) - 1)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
-
-def survey(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """One pass: (doc_id, mark, n, name) of every document, mark being a hash of its text, and the sketch in blocks (block, counts) summed over all tasks."""
+def survey(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, mark (hash of the text), n, n1, n2 (name of the set) of every row, and its compressed text where the task has not sent that set yet."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        counts = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.int64)
-        out = pa.schema([("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        sent: set[tuple[int, int]] = set()
+        shut = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ns, names = [], []
-            for s in shingle_sets(_texts(batch.column(2)), size):
+            raw, ns, names, packed = _texts(batch.column(2)), [], [], []
+            for t, s in zip(raw, shingle_sets(raw, size), strict=True):
+                name = _name(s)
+                new = len(s) > 0 and name not in sent
                 ns.append(len(s))
-                names.append(_name(s))
-                for r, at in enumerate(_slots(s)):
-                    counts[r << SKETCH_BITS : (r + 1) << SKETCH_BITS] += np.bincount(at, minlength=1 << SKETCH_BITS) if len(at) > 20_000 else 0
-                    if len(at) <= 20_000:
-                        np.add.at(counts, at + (r << SKETCH_BITS), 1)
-            m = len(ns)
-            cols = [batch.column(0), batch.column(1), pa.array(ns, out[0].type), pa.array(names, out[1].type), pa.nulls(m, out[2].type), pa.nulls(m, out[3].type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", *out.names])
-        if counts.any():
-            parts = counts.reshape(-1, SKETCH_BLOCK)
-            full = [i for i, p in enumerate(parts) if p.any()]
-            cols = [pa.nulls(len(full), id_type), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), out[0].type), pa.nulls(len(full), out[1].type), pa.array(full, out[2].type), pa.array([parts[i].astype("<i8").tobytes() for i in full], out[3].type)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", *out.names])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n long, name long, block int, counts binary"))
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH_BLOCK, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i8")
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [total.tobytes()]})
-
-    blocks = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary")
-    return rows.where("block IS NULL").select("doc_id", "mark", "n", "name"), blocks
-
-
-def sketch(blocks: DataFrame) -> np.ndarray:
-    """The summed sketch; its size is fixed by SKETCH_BITS and SKETCH_ROWS (4 MB), whatever the corpus."""
-    counts = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
-    for r in blocks.collect():
-        counts[r.block] = np.frombuffer(r.counts, "<i8")
-    return counts.reshape(SKETCH_ROWS, -1)
-
-
-def prefix(s: np.ndarray, counts: np.ndarray, floor: float) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its l, the cheapest of 1 to MAX_MATCH by the sketch."""
-    n = len(s)
-    df = np.min([counts[r][at] for r, at in enumerate(_slots(s))], axis=0)
-    order = np.lexsort((s, df))
-    least = -(-PERCENT * n // 100)
-    matches = np.cumsum(np.maximum(df[order] - floor - 1, 0) / n + CHANCE)
-    best, cost = 1, None
-    for m in range(1, MAX_MATCH + 1):
-        length = n - least + m
-        if length > n:
-            break
-        # a row for each shingle, and verified pairs, which fall as the square of l
-        c = length + VERIFY * matches[length - 1] / m**2
-        if cost is None or c < cost:
-            best, cost = m, c
-    return s[order[: n - least + best]], best
+                names.append(name)
+                packed.append(shut(t) if new else None)
+                if new:
+                    sent.add(name)
+                    if len(sent) > REMEMBER:
+                        sent.clear()
+            cols = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "n", "n1", "n2", "packed"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n long, n1 long, n2 long, packed binary")
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, nl (set size * 8 + l) and place in the order, for every shingle of every document's prefix; equal sets met in one task are sent once."""
-    floor = float(counts.mean())
+def packs_of(found: DataFrame) -> DataFrame:
+    """pack, names (n1, n2), sizes ns and compressed texts of the classes, in packs of bounded size."""
+    one = found.where("packed IS NOT NULL").groupBy("n1", "n2").agg(F.first("packed").alias("packed"), F.first("n").alias("n"))
+    schema = pa.schema([("pack", pa.int64()), ("n1", pa.list_(pa.int64())), ("n2", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
 
     def run(batches):
-        sent: set[int] = set()
+        ids, held, bytes_ = count(TaskContext.get().partitionId() << 24), [[], [], [], []], 0
+
+        def full():
+            cols = [[next(ids)], *([c] for c in held)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            tokens, names, ls, lens = [], [], [], []
-            for s in shingle_sets(_texts(batch.column(0)), size):
-                name = _name(s)
-                if len(s) and name not in sent:
-                    p, m = prefix(s, counts, floor)
-                    tokens.append(p)
-                    lens.append(len(p))
-                    names.append(name)
-                    ls.append(len(s) * 8 + m)
-                    sent.add(name)
-                    if len(sent) > REMEMBER:
-                        sent.clear()
-            if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, np.int64), lens), np.repeat(np.array(ls, np.int64), lens), np.concatenate([np.arange(k, dtype=np.int32) for k in lens])]
-                for i in range(0, len(cols[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], names=["token", "name", "nl", "at"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c, v in zip(held, row, strict=True):
+                    c.append(v)
+                bytes_ += zstandard.frame_content_size(row[3])
+                if bytes_ >= PACK_BYTES or len(held[0]) >= PACK_SETS:
+                    yield full()
+                    held, bytes_ = [[], [], [], []], 0
+        if held[0]:
+            yield full()
 
-    return docs.select("text").mapInArrow(run, "token long, name long, nl long, at int")
+    return one.select("n1", "n2", "n", "packed").mapInArrow(run, "pack long, n1 array<long>, n2 array<long>, ns array<long>, texts array<binary>")
 
 
-def shared_tokens(docs: DataFrame, counts: np.ndarray, size: int = SIZE) -> DataFrame:
-    """token, name, nl, at, p (the token's least name) and long, of the tokens on the prefixes of two sets or more.
+def _id(pack: Column, place: Column) -> Column:
+    return F.shiftleft(pack, 16) + place
 
-    One exchange. A text gives some dozens of tokens and equal sets are sent
-    once a task, so no token has more than a small share of the rows.
-    """
-    w = W.partitionBy("token")
-    rows = prefixes(docs, counts, size).withColumns({"p": F.min("name").over(w), "q": F.max("name").over(w), "c": F.count(F.lit(1)).over(w)})
-    return rows.where("p <> q").select("token", "name", "nl", "at", "p", (F.col("c") > SMALL).alias("long")).distinct()
 
+def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return list(shingle_sets([open_(t) for t in texts], size))
 
-def matches(rows: DataFrame) -> DataFrame:
-    """a, b, c, least: pairs of sets of fitting sizes with the number of their common tokens in ``rows`` and the smaller l.
 
-    A pair's own prefixes are shorter than those sent: with the overlap that its
-    two sizes call for, only the first size - overlap + l shingles of each count.
-    """
-    a, b = (rows.select("token", F.col("name").alias(x), F.col("nl").alias("n" + x), F.col("at").alias("at" + x)) for x in "ab")
-    na, nb = F.shiftright("na", 3), F.shiftright("nb", 3)
-    least = F.least(F.col("na").bitwiseAND(7), F.col("nb").bitwiseAND(7))
-    overlap = F.ceil((PERCENT * (na + nb)) / F.lit(100 + PERCENT))
-    fits = (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (F.col("ata") < na - overlap + least) & (F.col("atb") < nb - overlap + least)
-    both = a.join(b, "token").where((F.col("a") < F.col("b")) & fits)
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(least).alias("least"))
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct counted parts of a pack's shingles in order, and in how many of its sets each is."""
+    return np.unique(np.concatenate([np.unique(s >> U64(64 - BITS)) for s in sets]), return_counts=True)
 
 
-def texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """name and compressed text of one document of each name; names: (doc_id, mark, name)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _shut(tokens: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted tokens and counts, by bytes of equal weight, compressed."""
+    steps = np.diff(tokens, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+    return zstandard.ZstdCompressor(level=1).compress(steps.T.tobytes() + counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
 
-    def pack(batches):
-        shut = zstandard.ZstdCompressor(level=3).compress
+
+def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(BITS // 8 + 2, -1)
+    steps, counts = np.zeros((planes.shape[1], 8), np.uint8), np.zeros((planes.shape[1], 2), np.uint8)
+    steps[:, : BITS // 8], counts[:] = planes[: BITS // 8].T, planes[BITS // 8 :].T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=U64), counts.view("<u2").ravel().astype(np.int64)
+
+
+def grades(totals: np.ndarray) -> np.ndarray:
+    """Numbers of classes as bytes on a scale of logarithms: 0 for one class, the same order otherwise."""
+    return np.where(totals > 1, np.minimum(1 + np.floor(8 * np.log2(totals)), 255), 0).astype(np.uint8)
+
+
+def counts_of(packs: DataFrame, bits: int, size: int = SIZE) -> DataFrame:
+    """pack, bucket and the grades of the pack's shingles in that bucket, in order; 2**bits buckets part the hash range."""
+
+    def send(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shut((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["d", "m", "packed"])
+            for pack, texts in zip(batch.column(0), batch.column(1), strict=True):
+                tokens, counts = _counted(_sets(texts.as_py(), size))
+                owner = tokens >> U64(BITS - bits)
+                edge = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
+                buckets = owner[edge[:-1]].astype(np.int64)
+                cols = [buckets, np.full(len(buckets), pack.as_py()), [_shut(tokens[a:b], counts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.binary())], names=["bucket", "pack", "blob"])
+
+    def total(table: pa.Table) -> pa.Table:
+        parts = [_open(b.as_py()) for b in table.column("blob")]
+        tokens, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        # a bucket's totals stay far below 2**53, so sums of floats are exact
+        marks = grades(np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(tokens)))[at]
+        shut, ends = zstandard.ZstdCompressor(level=1).compress, np.cumsum([0, *(len(p[0]) for p in parts)])
+        back = [shut(marks[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "marks": pa.array(back, pa.binary())})
+
+    sent = packs.select("pack", "texts").mapInArrow(send, "bucket long, pack long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(total, "pack long, bucket long, marks binary")
+
+
+def prefix(s: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The shingles on a set's prefix that are on other sets too, how many stand before them, and l, the cheapest of 1 to MAX_MATCH."""
+    n = len(s)
+    order = np.lexsort((s, marks))
+    alone = int((marks == 0).sum())
+    least = -(-PERCENT * n // 100)
+    if alone > n - least:  # the shortest prefix meets nothing
+        return s[:0], 0, 1
+    others = np.cumsum(np.where(marks[order] > 0, 2.0 ** ((marks[order].astype(float) - 1) / 8) - 1, 0.0))
+    # a row for each shingle sent, and verified pairs, which fall as the square of l
+    costs = [n - least + m - alone + VERIFY * others[n - least + m - 1] / m**2 for m in range(1, min(MAX_MATCH, least) + 1)]
+    best = 1 + int(np.argmin(costs))
+    return s[order[alone : n - least + best]], alone, best
 
-    packed = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(pack, f"d {kind}, m long, packed binary")
-    both = packed.join(names, (F.col("m") == F.col("mark")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    return both.select("name", "packed").dropDuplicates(["name"])  # rows may repeat
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & U64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(a, b) with both sizes, their overlap, b's share of a's sorted members as packed bits, and b's other members (null where the overlap is small).
 
-    Compressed texts travel, a quarter the size of their sets, which are made again where pairs meet.
-    """
-    mine = texts.select(F.col("name").alias("b"), F.col("packed").alias("mb"))
-    theirs = texts.select(F.col("name").alias("a"), F.col("packed").alias("ma"))
-    both = pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "ma", "mb")
+def ranked(packs: DataFrame, counts: DataFrame, size: int = SIZE) -> DataFrame:
+    """id, nl (set size * 8 + l), skip, tokens, signature and compressed text of every class whose prefix meets another."""
+    back = counts.groupBy("pack").agg(F.collect_list(F.struct("bucket", "marks")).alias("back"))
+    both = packs.join(back, "pack").select("pack", "texts", "back")
+    schema = pa.schema([("id", pa.int64()), ("nl", pa.int64()), ("skip", pa.int32()), ("tokens", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for pack, texts, back in zip(*(c for c in batch.columns), strict=True):
+                pack, texts = pack.as_py(), texts.as_py()
+                sets = _sets(texts, size)
+                tokens = _counted(sets)[0]
+                marks = np.frombuffer(b"".join(open_(x["marks"]) for x in sorted(back.as_py(), key=lambda x: x["bucket"])), np.uint8)
+                rows = []
+                for i, s in enumerate(sets):
+                    p, skip, m = prefix(s, marks[np.searchsorted(tokens, s >> U64(64 - BITS))])
+                    if len(p):
+                        rows.append(((pack << 16) + i, len(s) * 8 + m, skip, p.view(np.int64), _signature(s), texts[i]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, "id long, nl long, skip int, tokens array<long>, signature array<long>, packed binary")
+
+
+def lists_of(rows: DataFrame) -> DataFrame:
+    """token, id, nl and at (place in the set's order) of the tokens on two prefixes or more."""
+    every = rows.select("id", "nl", "skip", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "nl", (F.col("skip") + F.col("pos")).alias("at"))
+    shared = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    return every.join(shared, "token")
+
+
+def _least(na: str, nb: str) -> Column:
+    return F.least(F.col(na).bitwiseAND(7), F.col(nb).bitwiseAND(7))
+
+
+def fits(na: str, nb: str, ata: str, atb: str) -> Column:
+    """Whether sets of these sizes can be similar, and the token stands on the prefixes that the pair itself calls for."""
+    a, b = F.shiftright(na, 3), F.shiftright(nb, 3)
+    overlap = F.ceil((PERCENT * (a + b)) / F.lit(100 + PERCENT))
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (F.col(ata) < a - overlap + _least(na, nb)) & (F.col(atb) < b - overlap + _least(na, nb))
+
+
+def alike(na: str, nb: str, sa: str, sb: str) -> Column:
+    """Whether sets of these sizes and signatures can be similar: 100 * overlap >= 75 * union leaves them (na + nb) / 7 shingles that only one has."""
+    differ = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.shiftright(na, 3) + F.shiftright(nb, 3))
+
+
+def enough(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs (x, nx, y, ny: a row for each token that they share) with as many tokens as the smaller l."""
+    found = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(_least("nx", "ny")).alias("least"))
+    return found.where("c >= least").select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The similar ones of the pairs (a, b). Compressed texts travel, a quarter the size of their sets, which are made again where pairs meet."""
+    mine = texts.select(F.col("id").alias("b"), F.col("packed").alias("mb"))
+    theirs = texts.select(F.col("id").alias("a"), F.col("packed").alias("ma"))
+    both = pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "ma", "mb")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 packed = dict(zip(a, part.column(2), strict=True)) | dict(zip(b, part.column(3), strict=True))
-                made = dict(zip(packed, shingle_sets([open_(x.as_py()) for x in packed.values()], size), strict=True))
-                na, nb, over, bits, rest = [], [], [], [], []
+                made = dict(zip(packed, _sets([x.as_py() for x in packed.values()], size), strict=True))
+                keep = []
                 for x, y in zip(a, b, strict=True):
                     p, q = made[x], made[y]
-                    hit = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
-                    na.append(len(p))
-                    nb.append(len(q))
-                    over.append(int(hit.sum()))
-                    bits.append(np.packbits(hit).tobytes())
-                    rest.append(np.setdiff1d(q, p, assume_unique=True).tobytes() if over[-1] >= SPELLED * len(q) else None)
-                cols = [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (na, nb, over)), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "na", "nb", "overlap", "bits", "rest"])
-
-    return both.mapInArrow(run, "a long, b long, na long, nb long, overlap long, bits binary, rest binary")
-
-
-def similar(percent: int = PERCENT) -> Column:
-    return F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")
-
-
-def _near_blocks(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of one pivot, of different components and one of them near, that are similar, or, where ``sure`` is false, may be."""
-    members = stars.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    counted = members.groupBy("a", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counted.groupBy("a").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    main = main.select("a", F.col("top.root").alias("main"), F.col("size").alias("members"), (F.col("size") - F.col("top.c")).alias("strays"))
-    rows = members.join(main, "a").withColumn("stray", F.col("root") != F.col("main"))
-    nb, ns = F.ceil(F.col("members") / BLOCK).cast("int"), F.greatest(F.ceil(F.col("strays") / BLOCK), F.lit(1)).cast("int")
-    cols = ["a", "b", "nb", "overlap", "bits", "rest", "root"]
-    place = F.xxhash64("b")
-    right = rows.select(*cols, F.lit(False).alias("left"), F.pmod(place, nb).alias("j"), F.explode(F.sequence(F.lit(0), ns - 1)).alias("i"))
-    left = rows.where("stray").select(*cols, F.lit(True).alias("left"), F.pmod(place, ns).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("j"))
-    both = left.select("a", "i", F.col("j").cast("int").alias("j"), "left", *cols[1:]).unionByName(right.select("a", "i", F.col("j").cast("int").alias("j"), "left", *cols[1:]))
-
-    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, x = pdf[pdf["left"]], pdf[~pdf["left"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "sure": np.empty(0, bool)})
-        if u.empty or x.empty:
-            return none
-        rows = lambda d: np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in d["bits"]]), axis=1).astype(np.float32)
-        nu, nx = u["nb"].to_numpy()[:, None], x["nb"].to_numpy()[None, :]
-        ou, ox = u["overlap"].to_numpy()[:, None], x["overlap"].to_numpy()[None, :]
-        known = u["rest"].notna().to_numpy()[:, None] & x["rest"].notna().to_numpy()[None, :]
-        common = (rows(u) @ rows(x).T).astype(np.int64) + np.where(known, _both_have(u["rest"], x["rest"]), np.minimum(nu - ou, nx - ox))
-        near = (ou >= NEAR * nu) | (ox >= NEAR * nx)
-        ok = near & (100 * common >= PERCENT * (nu + nx - common)) & (u["root"].to_numpy()[:, None] != x["root"].to_numpy()[None, :])
-        i, j = np.nonzero(ok)
-        p, q = u["b"].to_numpy()[i], x["b"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "sure": known[i, j]}) if len(i) else none
-
-    return both.groupBy("a", "i", "j").applyInPandas(hold, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-
-def _both_have(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """For each pair of a left and a right set, how many members they share; absent sets share none."""
-    sides = []
-    for side in (left, right):
-        sets = [np.empty(0, U64) if s is None else np.frombuffer(s, U64) for s in side]
-        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)))
-    shared = np.intersect1d(sides[0][0], sides[1][0])
-    out = np.zeros((sides[0][2], sides[1][2]), np.float32)
-    for k in range(0, len(shared), 4096):
-        part, ms = shared[k : k + 4096], []
-        for values, owner, n in sides:
-            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[at] == values
-            m = np.zeros((n, len(part)), np.float32)
-            m[owner[hit], at[hit]] = 1
-            ms.append(m)
-        out += ms[0] @ ms[1].T
-    return out.astype(np.int64)
+                    over = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                    keep.append(100 * over >= percent * (len(p) + len(q) - over))
+                yield part.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def dealt(lists: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The lists that hold several components: rows with root, the list's main root and one member of that; the table they lean on; how many rows and pairs they have."""
+    if roots is None:
+        rows = lists.withColumn("root", F.col("id"))
+    else:
+        rows = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "nl", "at")).alias("head")
+    groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), head)
+    mains = groups.groupBy("token").agg(F.max(F.struct("c", F.col("head.h"), "root", "head")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
+    mains = cut(mains.where("kinds > 1").select("token", F.col("top.root").alias("main"), F.col("top.head").alias("head"), "size", (F.col("size") - F.col("top.c")).alias("strays")))
+    size, pairs = mains.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("strays") * (F.col("size") - F.col("strays") / 2)), F.lit(0.0))).first()
+    return rows.join(mains.drop("size", "strays"), "token"), mains, int(size), int(pairs)
 
 
 def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """Surveyed documents (doc_id, n, name), and the component root of every name that links to another (node, root)."""
-    spark = docs.sparkSession
-    found, blocks = survey(docs, size)
-    counts = sketch(blocks)
-    lists = cut(shared_tokens(docs, counts, size))
-    release(spark)
-    short, left = lists.where("NOT long"), lists.where("long").drop("long")
-    paired = cut(matches(short))
-    hopeful = paired.where("c >= least").select("a", "b")
-    names = left.select("name").unionByName(hopeful.select(F.col("a").alias("name"))).unionByName(hopeful.select(F.col("b").alias("name"))).distinct()
-    keys = found.where("n > 0").groupBy("name").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
-    texts = cut(texts_of(docs, keys.join(names, "name").select("one.doc_id", "one.mark", "name")))
-    release(spark)
-    stars = None
-    for _ in range(ROUNDS):
-        pairs = left.where("name <> p").select(F.col("p").alias("a"), F.col("name").alias("b")).distinct()
-        star = cut(verified(pairs, texts, size))
-        near = star.where(F.col("overlap") >= NEAR * F.col("nb")).select(F.col("a").alias("p"), F.col("b").alias("name"))
-        far = left.where("name <> p").join(near, ["p", "name"], "left_anti").select("token", "name", "nl", "at")
-        pivots = far.groupBy("token").agg(F.min("name").alias("p"), F.max("name").alias("q")).where("p <> q").select("token", "p")
-        left = cut(far.join(pivots, "token"))
-        stars = star if stars is None else stars.unionByName(star)
-        release(spark)
-    every = paired.unionByName(matches(left)).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least")
-    first = stars.where(similar()).select("a", "b").unionByName(verified(every, texts, size).where(similar()).select("a", "b"))
-    first = cut(first)
-    roots = components(first)
-    held = cut(_near_blocks(stars, roots))
-    rest = held.where("sure").select("a", "b").unionByName(verified(held.where("NOT sure"), texts, size).where(similar()).select("a", "b"))
-    rest = cut(rest)
-    release(spark)
-    if rest.isEmpty():
-        return found, roots
-    return found, components(first.unionByName(rest))
+    """Surveyed rows (doc_id, mark, n, id of the class, null without words), and the component root of every class that links to another (node, root)."""
+    found = cut(survey(docs, size))
+    packs = cut(packs_of(found))
+    rows = cut(found.drop("packed"))
+    drop(found)
+    held = packs.select("pack", F.posexplode(F.arrays_zip("n1", "n2")).alias("i", "x")).select(F.col("x.n1").alias("n1"), F.col("x.n2").alias("n2"), _id(F.col("pack"), F.col("i")).alias("id"))
+    classed = cut(rows.join(held, ["n1", "n2"], "left").drop("n1", "n2"))
+    total = packs.agg(F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    counts = cut(counts_of(packs, max(0, int(total // BUCKET).bit_length()), size))
+    sets = cut(ranked(packs, counts, size))
+    drop(rows, packs, counts)
+    lists, texts = cut(lists_of(sets)), sets.select("id", "packed")
+    linked, tried, roots, before = None, None, None, None
+    for turn in count():
+        members, mains, n, pairs = dealt(lists, roots, turn)
+        if pairs <= RATIO * n or before is not None and pairs > FALL * before:
+            break
+        stars = members.where("root <> main").select(F.col("head.id").alias("x"), F.col("head.nl").alias("nx"), F.col("head.at").alias("atx"), F.col("id").alias("y"), F.col("nl").alias("ny"), "at")
+        new = enough(stars.where(fits("nx", "ny", "atx", "at")))
+        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        tried = new if tried is None else tried.unionByName(new)
+        found_now = cut(verified(new, texts, size))
+        linked = found_now if linked is None else linked.unionByName(found_now)
+        drop(mains)
+        roots, before = components(linked), pairs
+    rest = cut(members.withColumn("main", F.col("root") == F.col("main")).select("token", "id", "nl", "at", "root", "main"))
+    drop(mains, lists)
+    # a pair is made at the first token of the order that both have: the arrays hold all that any pair of theirs can share
+    heads = rest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("heads"))
+    held = cut(heads.join(sets.select("id", "signature"), "id"))
+    rest = rest.join(held, "id")
+    x, y = (rest.select("token", *(F.col(c).alias(c + s) for c in ("id", "nl", "at", "root", "main", "heads", "signature"))) for s in "xy")
+    apart = (F.col("rootx") != F.col("rooty")) & (F.col("mainy") | (F.col("idx") < F.col("idy")))
+    first = F.exists(F.array(F.array_intersect("headsx", "headsy")), lambda s: (F.size(s) >= _least("nlx", "nly")) & (s[0] == F.col("token")))
+    both = x.where("NOT mainx").join(y, "token").where(apart & fits("nlx", "nly", "atx", "aty") & alike("nlx", "nly", "signaturex", "signaturey") & first)
+    left = both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+    left = cut(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
+    last = cut(verified(left, texts, size))
+    drop(held, left, sets)
+    return classed, components(last if linked is None else linked.unionByName(last))
 
 
 def _grouped(docs: DataFrame, size: int) -> DataFrame:
-    """Surveyed documents (doc_id, mark, n, name) with the root of their component, null where they have no words."""
-    found, roots = links(docs, size)
-    rows = found.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    return rows.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
+    """Surveyed rows (doc_id, mark, n) with the root of their component, null where they have no words."""
+    rows, roots = links(docs, size)
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("doc_id", "mark", "n", "root")
 
 
 def join(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows = _grouped(docs, size)
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
+    rows = cut(_grouped(docs, size))
+    least = cut(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component")))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -350,12 +358,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     least = rows.groupBy("root").agg(F.min(key).alias("least"))
     keys = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).join(least, "root")
-    keys = keys.withColumn("first", key.eqNullSafe(F.col("least"))).where("NOT first OR copies > 1")
-    keys = keys.select(F.col("doc_id").alias("g_doc"), F.col("mark").alias("g_mark"), F.col("first").alias("g_first"))
-    held = docs.withColumn("g_at", F.xxhash64("text"))
-    met = held.join(keys, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("g_at") == F.col("g_mark")), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    keys = keys.withColumn("first", key.eqNullSafe(F.col("least"))).where("NOT first OR copies > 1").select("doc_id", "mark", "first")
+    # the input's columns travel in one struct, so that none can clash with those made here
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("at"), whole.alias("row"))
+    met = held.join(keys, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("mark")), "left")
     # rows that repeat a doc_id and its text: few columns of few documents, met in partial sums
-    whole = F.struct(*names)
-    again = met.where("g_first").groupBy("g_doc", "g_mark").agg(F.min_by(whole, F.xxhash64(whole)).alias("g_row")).select("g_row.*")
-    return met.where("g_first IS NULL").select(*names).unionByName(again)
+    again = met.where("first").groupBy("key", "at").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return met.where("first IS NULL").select("row.*").unionByName(again.select("row.*"))

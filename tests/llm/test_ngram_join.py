@@ -49,7 +49,9 @@ def test_edges(spark):
 
 
 def test_near_copies_near_the_threshold(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "PACK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "BUCKET", 256)
+    monkeypatch.setattr(ngram_join, "RATIO", 0)
     rng, rows = random.Random(3), []
     words = [f"w{i}" for i in range(400)]
     for base in range(3):
