@@ -470,8 +470,14 @@ def node_groups(spark, sf_dir):
 HALF = 12
 _RARE = f"""h AS (SELECT node, {floor_of(HOUR)} AS hour, max(CASE WHEN token = 1 THEN 1 ELSE 0 END) AS rare FROM t GROUP BY ALL), o AS (SELECT node, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY node),
     r AS (SELECT node, hour - lo AS r, hi - lo AS lim, row_number() OVER (PARTITION BY node ORDER BY hour) AS k FROM h JOIN o USING (node) WHERE rare = 1)"""
-_COVER = f"""cov(node, k, lo, hi, opened) AS (SELECT node, k, greatest(r - {HALF}, 0), least(r + {HALF}, lim), TRUE FROM r WHERE k = 1
-    UNION ALL SELECT c.node, r.k, CASE WHEN r.r <= c.hi THEN c.lo ELSE greatest(r.r - {HALF}, 0) END, CASE WHEN r.r <= c.hi THEN c.hi ELSE least(r.r + {HALF}, r.lim) END, r.r > c.hi FROM cov c JOIN r ON r.node = c.node AND r.k = c.k + 1)"""
+
+
+def _cover(half: int) -> str:
+    return f"""cov(node, k, lo, hi, opened) AS (SELECT node, k, greatest(r - {half}, 0), least(r + {half}, lim), TRUE FROM r WHERE k = 1
+    UNION ALL SELECT c.node, r.k, CASE WHEN r.r <= c.hi THEN c.lo ELSE greatest(r.r - {half}, 0) END, CASE WHEN r.r <= c.hi THEN c.hi ELSE least(r.r + {half}, r.lim) END, r.r > c.hi FROM cov c JOIN r ON r.node = c.node AND r.k = c.k + 1)"""
+
+
+_COVER = _cover(HALF)
 
 
 def rare_rows(spark, sf_dir) -> DataFrame:
@@ -508,9 +514,42 @@ def day_cells(spark, sf_dir) -> DataFrame:
     return full.select("node", "t", "token", F.coalesce("cnt", F.lit(0)).alias("cnt")).join(S.node_groups(t.select("node")), "node")
 
 
-@query()
+TARGET, SAMPLE_WINDOW, RARE = 20, 6, 0.1
+_GROUPS = "g AS (SELECT node, 'nat_' || lpad(CAST(((row_number() OVER (ORDER BY node) - 1) // 8) * 8 AS VARCHAR), 5, '0') AS \"group\" FROM (SELECT DISTINCT node FROM t))"
+_SAMPLE = f"""WITH RECURSIVE {T}, {_M}, {_GROUPS},
+    ce AS (SELECT node, {floor_of(DAY)} AS b, token, count(*) AS cnt FROM t WHERE token BETWEEN 0 AND 3 GROUP BY ALL),
+    cl AS (SELECT sp.node, sp.t, n_bins, token, cnt FROM (SELECT node, min_bin, n_bins, unnest(range(0, n_bins)) AS t FROM n) sp LEFT JOIN ce ON ce.node = sp.node AND b = min_bin + sp.t),
+    rw AS (SELECT node, t, coalesce(sum(cnt), 0) AS total FROM cl GROUP BY node, t),
+    ra AS (SELECT node, token FROM cl WHERE cnt > 0 GROUP BY node, token HAVING sum(cnt) * 1.0 / max(n_bins) < {RARE}),
+    r AS (SELECT node, t AS r, n_bins - 1 AS lim, row_number() OVER (PARTITION BY node ORDER BY t) AS k FROM (SELECT DISTINCT node, t, n_bins FROM cl JOIN ra USING (node, token) WHERE cnt > 0)),
+    {_cover(SAMPLE_WINDOW // 2)},
+    kn AS (SELECT DISTINCT node, t FROM (SELECT node, unnest(range(lo, hi + 1)) AS t FROM cov WHERE opened)),
+    fl AS (SELECT rw.*, kn.t IS NOT NULL AS known FROM rw LEFT JOIN kn USING (node, t)),
+    pl AS (SELECT *, CASE WHEN NOT known THEN row_number() OVER (PARTITION BY node, known ORDER BY total <= 0, md5(concat_ws(':', '42', node, CAST(t AS VARCHAR)))) END AS place FROM fl),
+    re AS (SELECT *, CASE WHEN known THEN 0 ELSE min(place) OVER (PARTITION BY node ORDER BY t RANGE BETWEEN {SAMPLE_WINDOW // 2} PRECEDING AND {SAMPLE_WINDOW // 2} FOLLOWING) END AS reached FROM pl),
+    en AS (SELECT node, max(reached) FILTER (WHERE k <= {TARGET}) AS upto FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY reached, t) AS k FROM re) GROUP BY node),
+    op AS (SELECT node, t, CASE WHEN t > lag(t) OVER (PARTITION BY node ORDER BY t) + 1 THEN 1 ELSE 0 END AS opens FROM re JOIN en USING (node) WHERE reached <= upto OR known),
+    sm AS (SELECT "group", node, CAST(sum(opens) OVER (PARTITION BY node ORDER BY t) AS BIGINT) AS segment, t FROM op JOIN g USING (node))"""
+
+
+@query(f"{_SAMPLE} SELECT * FROM sm")
 def contiguous_sample(spark, sf_dir):
-    return S.contiguous_sample(day_cells(spark, sf_dir), 20, 6, 0.1)
+    return S.contiguous_sample(day_cells(spark, sf_dir), TARGET, SAMPLE_WINDOW, RARE)
+
+
+@query(f"""{_SAMPLE} SELECT *, FALSE AS is_separator FROM sm UNION ALL SELECT DISTINCT "group", node, segment, CAST(NULL AS BIGINT) AS t, TRUE AS is_separator
+    FROM (SELECT *, max(segment) OVER (PARTITION BY node) AS last FROM sm) WHERE segment < last""")
+def separated_sample(spark, sf_dir):
+    return S.separated(contiguous_sample(spark, sf_dir))
+
+
+@query(f"""WITH {T}, {_GROUPS}, li AS (SELECT "group", row_number() OVER (ORDER BY "group") - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT "group" FROM g)),
+    mx AS (SELECT i AS c, n, n // 2 AS half FROM li WHERE i < floor(n * 0.5) AND n > 1),
+    sd AS (SELECT c, CAST('0x' || substr(md5('42:a:' || c), 1, 8) AS BIGINT) % half AS i FROM mx UNION ALL SELECT c, half + CAST('0x' || substr(md5('42:b:' || c), 1, 8) AS BIGINT) % (n - half) FROM mx),
+    rk AS (SELECT c, node, row_number() OVER (PARTITION BY c, i ORDER BY md5('42:' || c || ':' || node)) AS k FROM sd JOIN li USING (i) JOIN g USING ("group"))
+    SELECT node, 'cross_' || lpad(CAST(c AS VARCHAR), 5, '0') AS "group" FROM rk WHERE k <= 4""")
+def cross_groups(spark, sf_dir):
+    return S.cross_groups(node_groups(spark, sf_dir), 0.5)
 
 
 @query()

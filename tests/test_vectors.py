@@ -96,18 +96,25 @@ def test_cover_and_merge(spark):
     assert [(r.lo, r.hi) for r in S.merged(w, ["node"]).orderBy("lo").collect()] == [(0, 13), (26, 34)]
 
 
-def test_sample_windows_are_disjoint_and_cover():
-    rng = np.random.default_rng(1)
-    sums, rare = rng.integers(0, 2, 500), np.zeros(500, bool)
-    rare[[3, 77, 400]] = True
-    got = S.sample_windows(sums, rare, 120, 20, np.random.default_rng(42))
-    assert all(a[1] + 1 < b[0] for a, b in zip(got, got[1:], strict=False))
-    assert sum(h - a + 1 for a, h in got) >= 120 and all(any(a <= r <= h for a, h in got) for r in (3, 77, 400))
-
-
-def test_cross_groups_are_seeded():
-    chunks = [[f"n{i}{j}" for j in range(8)] for i in range(6)]
-    assert S.cross_groups(chunks, 0.5) == S.cross_groups(chunks, 0.5) and len(S.cross_groups(chunks, 0.5)) == 3
+def test_sampler_covers_rare_rows_and_the_target(spark):
+    active = [t for t in range(500) if t * 7 % 3]
+    cells = [("g", "n", t, 1 if t in active else None, 1 if t in active else 0) for t in range(500)] + [("g", "n", t, 2, 1) for t in (3, 77, 400)]
+    df = spark.createDataFrame(cells, "group string, node string, t long, token int, cnt long")
+    for target in (10, 120, 600):
+        got = {r.t: r.segment for r in S.contiguous_sample(df, target, 20, 0.1).collect()}
+        assert len(got) >= min(target, 500) and {t for r in (3, 77, 400) for t in range(max(0, r - 10), r + 11)} <= set(got)
+        assert all((t - 1 not in got) == (got[t] != got.get(t - 1)) for t in got)
+        assert len(got) <= max(target + 20, 56)
+    out = S.separated(S.contiguous_sample(df, 120, 20, 0.1)).collect()
+    assert sum(r.is_separator for r in out) == len({r.segment for r in out}) - 1 and all((r.t is None) == r.is_separator for r in out)
+
+
+def test_cross_groups_are_seeded(spark):
+    groups = S.node_groups(spark.createDataFrame([(f"n{i:02d}",) for i in range(48)], "node string"))
+    got, again = (sorted(map(tuple, S.cross_groups(groups, 0.5).collect())) for _ in range(2))
+    assert got == again and len({g for _, g in got}) == 3 and len(got) == 24
+    for name in {g for _, g in got}:
+        assert sorted(n < "n24" for n, g in got if g == name) == [False] * 4 + [True] * 4
 
 
 def test_fisher(spark):
