@@ -44,7 +44,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and digest of every whole text without its repeated 400-byte strings."""
-    return suffix_dedup.removed(read(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.removed(read(spark, sf_dir, "documents"))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

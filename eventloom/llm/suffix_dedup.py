@@ -3,10 +3,13 @@
 Every start of a LENGTH-byte string is tied to an anchor: the least hash among
 the REACH byte grams that begin at the start, the leftmost on ties. Equal
 strings are tied to equal anchors at equal distance, whatever stands around
-them. Only anchors are ranked: rank pairs are sorted out at growing offsets,
-first (first HALF bytes), then (that rank, next HALF bytes), then (that rank,
-everything that the strings of the anchor's starts cover, past LENGTH). Anchors
-whose pair occurs once drop out of each round.
+them. So the anchors are an index of all starts, and only their suffixes are
+ranked. The rank of a suffix for k bytes is the least place that bears those k
+bytes; the rank for 2 k bytes is the rank of the pair (rank for k bytes here,
+name of the k bytes at offset k), found by grouping the pairs of all remaining
+suffixes. Suffixes whose pair occurs once drop out. Offsets grow until HALVES is
+past; a last pair adds everything that the strings of an anchor's starts cover,
+to the left of it and past LENGTH.
 
 After the rounds the starts of an anchor have no repeated string (it fell out
 early), or all have (the last pair is shared), or they are open. Open starts are
@@ -14,15 +17,17 @@ settled byte by byte, by 128-bit names of their strings; of a shared last pair
 one bearer stands for all. So the result is exact, and only the edges of repeats
 are looked at bytewise.
 
-Ranks are the pairs themselves, 64 bits for each part: equal pairs, and no
-others, share a rank, and a task that is run again gives the same ranks.
-Counting is by partially aggregated groupBys and equi-joins that AQE can split,
-so a passage on a third of all rows makes no hot task.
+Texts are written once, compressed, with a number for each row, which names the
+row from then on. Ranks are numbers of places, so equal ranks mean equal pairs,
+and a task that is run again gives the same ranks. Counting is by partially
+aggregated groupBys, whose results are written, and equi-joins of two exchanged
+sides that AQE can split, so a passage on a third of all rows makes no hot task.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing;
 equal texts of LENGTH bytes or more are removed whole, each of them, also where
 they are rows with one doc_id; extra columns are ignored; strings never cross
-documents.
+documents; a very long text is handled whole, in memory in proportion to it; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,17 +37,20 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut
+from eventloom.llm.common import cut, drop
 from eventloom.llm.hashing import STEPS, U64, Sums, mix
 
 LENGTH, GRAM, REACH = 400, 16, 128
+#: Bytes that the rounds of doubling rank: 68, 136, 272, all within any string past its anchor.
+HALVES = (LENGTH - REACH) // 4, (LENGTH - REACH) // 2
 
 
 LOW = U64(0xFFFFFFFF)
+OPEN, LEAD, SURE = 0, 1, 2
 
 
 class Text:
@@ -74,22 +82,26 @@ class Text:
 
 
 def _sample(t: Text) -> tuple[np.ndarray, ...]:
-    """Place (with its distances to its first and last start, both under 256), and the names of three growing parts, of each anchor."""
+    """Place (with its distances to its first and last start, both under 256), and the names of the growing parts, of each anchor."""
     at, first, last = t.anchors()
-    half = (LENGTH - REACH) // 2
     place = (at << 16) + ((at - first) << 8) + (at - last)
     cover = mix(t.name(first, last + LENGTH) + STEPS[1] * (at - first).astype(U64))
-    return place, t.name(at, at + half).view(np.int64), t.name(at + half, at + 2 * half).view(np.int64), cover.view(np.int64)
+    parts = [t.name(at, at + HALVES[0]), *(t.name(at + k, at + 2 * k) for k in HALVES), cover]
+    return place, *(p.view(np.int64) for p in parts)
+
+
+PARTS = ["p0", *(f"p{i + 1}" for i in range(len(HALVES))), "cover"]
 
 
-def anchors_of(docs: DataFrame) -> DataFrame:
-    """doc, place and the three parts' names of every anchor; docs: (doc, text)."""
+def anchors_of(packed: DataFrame) -> DataFrame:
+    """doc, place and the names of the growing parts of every anchor; packed: (doc, packed)."""
 
     def run(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             owners, parts, rows = [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                data = (text.as_py() or "").encode()
+            for i, shut in enumerate(batch.column(1)):
+                data = open_(shut.as_py())
                 if len(data) >= LENGTH:
                     parts.append(_sample(Text(data)))
                     owners.append(np.full(len(parts[-1][0]), i))
@@ -102,31 +114,34 @@ def anchors_of(docs: DataFrame) -> DataFrame:
 
     def emit(batch, owners, parts):
         cols = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owners))), *cols], names=["doc", "place", "r1", "r2", "r3"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owners))), *cols], names=["doc", "place", *PARTS])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, place long, r1 long, r2 long, r3 long")
+    return packed.select("doc", "packed").mapInArrow(run, "doc long, place long, " + ", ".join(f"{p} long" for p in PARTS))
 
 
-def _shared(rows: DataFrame, *pair: str) -> DataFrame:
-    """The rows whose rank pair occurs more than once."""
-    # the counts are cut off, so that both sides of the join are dealt anew and AQE can split a hot pair
-    counted = cut(rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    return rows.join(counted, [*pair])
+def reranked(rows: DataFrame, part: str) -> DataFrame:
+    """One round: the suffixes whose pair (rank, part) others bear too, with the least place that bears it as rank."""
+    pair = [*(["rank"] if "rank" in rows.columns else []), part]
+    # the ranks are written, so that both sides of the join are dealt anew and AQE can split a hot pair
+    ranks = cut(rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("least")).where("c > 1").drop("c"))
+    out = cut(rows.join(ranks, pair).drop(*pair).withColumnRenamed("least", "rank"))
+    drop(ranks)
+    return out
 
 
 def doubled(rows: DataFrame) -> DataFrame:
     """Rounds of rank pairs over the anchors: doc, place, and state: sure, open, or lead (stands for a shared last pair)."""
-    rows = cut(_shared(rows, "r1"))
-    rows = cut(_shared(rows, "r1", "r2"))
-    last = cut(rows.groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("lead")))
+    for part in PARTS[:-1]:
+        before, rows = rows, reranked(rows, part)
+        drop(before)
+    last = cut(rows.groupBy("rank", "cover").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place")).alias("lead")))
     # only groups with an open member need their shared strings spelled out
-    need = cut(last.groupBy("r1", "r2").agg(F.max(F.col("c") == 1).alias("some_open")))
-    ranked = rows.join(last, ["r1", "r2", "r3"]).join(need, ["r1", "r2"])
-    state = F.when(F.col("c") == 1, 0).when(F.col("some_open") & (F.struct("doc", "place") == F.col("lead")), 1).otherwise(2)
-    return ranked.select("doc", "place", state.alias("state"))
-
-
-OPEN, LEAD, SURE = 0, 1, 2
+    need = cut(last.groupBy("rank").agg(F.max(F.col("c") == 1).alias("some_open")))
+    ranked = rows.join(last, ["rank", "cover"]).join(need, "rank")
+    state = F.when(F.col("c") == 1, OPEN).when(F.col("some_open") & (F.struct("doc", "place") == F.col("lead")), LEAD).otherwise(SURE)
+    out = cut(ranked.select("doc", "place", state.alias("state")))
+    drop(rows, last, need)
+    return out
 
 
 def settled(packed: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -157,32 +172,32 @@ def settled(packed: DataFrame, ranks: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc long, sure array<int>, at array<int>, n1 array<long>, n2 array<long>")
 
 
-def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """doc, sure, more: every place where a string begins that begins elsewhere too, as ranges and as single starts."""
-    spark = docs.sparkSession
-    ranks = cut(doubled(anchors_of(docs)))
+def repeats(packed: DataFrame) -> DataFrame:
+    """doc, sure, more: every place where a string begins that begins elsewhere too, as ranges and as single starts; packed: (doc, packed)."""
+    ranks = doubled(cut(anchors_of(packed)))
     edges = cut(settled(packed, ranks))
+    drop(ranks)
     opened = edges.select("doc", F.explode(F.arrays_zip("at", "n1", "n2")).alias("x")).select("doc", "x.at", "x.n1", "x.n2")
-    # one exchange; the strings at the edges of a repeat have many names, so no name has more than a small share of the rows
-    counted = opened.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("n1", "n2"))).where("c > 1")
-    again = counted.groupBy("doc").agg(F.collect_list("at").alias("more"))
-    one = edges.groupBy("doc").agg(F.first("sure").alias("sure"))  # rows with one doc_id and text are alike
-    return one.join(again, "doc", "left").select("doc", "sure", "more")
+    names = cut(opened.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    again = opened.join(names, ["n1", "n2"]).groupBy("doc").agg(F.collect_list("at").alias("more"))
+    out = cut(edges.select("doc", "sure").join(again, "doc", "left").select("doc", "sure", "more"))
+    drop(edges, names)
+    return out
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 and spans (flat from, to pairs in bytes) of every row."""
     kind = docs.schema[key].dataType.simpleString()
-    named = docs.select(F.xxhash64(key, text).alias("doc"), F.col(text).alias("text"), F.col(key).alias("key"))
 
     def pack(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
         for batch in batches:
             shut = [zip_.compress((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shut, pa.binary())], names=["doc", "key", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(shut))), batch.column(0), pa.array(shut, pa.binary())], names=["doc", "key", "packed"])
+            n += len(shut)
 
-    packed = named.mapInArrow(pack, f"doc long, key {kind}, packed binary")
-    joined = packed.join(repeats(named, packed), "doc", "left").select("key", "packed", "sure", "more")
+    packed = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(pack, f"doc long, key {kind}, packed binary"))
+    joined = packed.join(repeats(packed), "doc", "left").select("key", "packed", "sure", "more")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
 
     def finish(batches):
