@@ -70,6 +70,16 @@ def _drop_all() -> None:
             remove(spark, path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that none of them can clash with those an operator makes."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def columns_of(df: DataFrame, row: str = "row", **replaced: Column) -> list[Column]:
+    """The columns of ``df`` back from the struct, those named in ``replaced`` by other values."""
+    return [replaced[c].alias(c) if c in replaced else F.col(f"{row}.`{c}`").alias(c) for c in df.columns]
+
+
 def where_held(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on costly columns without pushing their definitions below the projections that hold them."""
     held = df.withColumn("held_row", F.monotonically_increasing_id())

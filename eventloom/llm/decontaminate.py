@@ -13,7 +13,10 @@ documents with a meeting are read again for the extension.
 
 Defined results: null text has no words and no hits; items without words match
 nothing; an item that repeats counts once per item_id, ids as strings, null
-ids left out; rows of one doc_id are judged together; extra columns are kept.
+ids left out; rows that repeat an id are judged each by its own text, and rows that
+repeat both alike; an empty table gives no rows, an empty benchmark no hits; extra
+columns of any name are kept (``match`` is replaced by the operator's own); a very
+long text is one row of words.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import columns_of, whole_row
+
 WINDOW, K = 13, 5
 #: Share of a document's words, in twentieths, from which it is contaminated.
 TWENTIETHS = 20
@@ -77,14 +82,14 @@ def _sided(df: DataFrame, small: bool) -> DataFrame:
 
 
 def benchmark_grams(benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(hash, item, around) of the kept k-grams of long items; (n, hash, item) of short items."""
+    """(hash, item, around) of the kept k-grams of long items; (n, hash, item, m_words) of short items."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words_of("text").alias("m_words"))
     long = items.where(F.size("m_words") >= window).withColumn("m_grams", _grams(k))
     long = long.withColumn("m_kept", _kept(window, k)).withColumn("m_at", F.expr("filter(sequence(0, size(m_grams) - 1), i -> array_contains(m_kept, m_grams[i]))"))
     seeds = long.select("item", "m_words", "m_grams", F.explode_outer("m_at").alias("q")).where("q IS NOT NULL")
     seeds = seeds.select(F.expr("m_grams[q]").alias("hash"), "item", _around("q", window - k, k).alias("theirs")).distinct()
     short = items.where((F.size("m_words") > 0) & (F.size("m_words") < window))
-    short = short.select(F.size("m_words").alias("n"), F.expr("xxhash64(array_join(m_words, ' '))").alias("hash"), "item").distinct()
+    short = short.select(F.size("m_words").alias("n"), F.expr("xxhash64(array_join(m_words, ' '))").alias("hash"), "item", F.col("m_words").alias("theirs")).distinct()
     return seeds, short
 
 
@@ -98,12 +103,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most window - 1 values
     words = docs.select("doc_id", "text").withColumn("m_words", words_of("text")).drop("text")
-    prints = words.withColumn("m_grams", _grams(k)).select("doc_id", F.explode_outer(_kept(window, k)).alias("hash")).where("hash IS NOT NULL")
-    found = prints.join(_sided(seeds.select("hash").distinct(), small), "hash", "left_semi").withColumn("n", F.lit(0))
-    for n in lengths:
-        mine = words.select("doc_id", F.explode_outer(F.array_distinct(_short_grams(n))).alias("hash")).where("hash IS NOT NULL")
-        theirs = short.where(F.col("n") == n).select("hash").distinct()
-        found = found.unionByName(mine.join(_sided(theirs, small), "hash", "left_semi").withColumn("n", F.lit(n)))
+    # prints of every length in one look at the texts: n is 0 for kept k-grams, else the words of an item
+    named = lambda n, hashes: F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("hash")))
+    prints = words.withColumn("m_grams", _grams(k)).select("doc_id", F.explode_outer(F.concat(named(0, _kept(window, k)), *(named(n, F.array_distinct(_short_grams(n))) for n in lengths))).alias("x"))
+    prints = prints.where("x IS NOT NULL").select("doc_id", "x.n", "x.hash")
+    wanted = seeds.select(F.lit(0).alias("n"), "hash").unionByName(short.select("n", "hash")).distinct()
+    found = prints.join(_sided(wanted, small), ["n", "hash"], "left_semi")
     by_doc = found.groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_set(F.struct("n", "hash")).alias("m_found"))
     again = docs.select("doc_id", "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_doc"))).select("doc_id", "m_found", words_of("text").alias("m_words"))
     of = lambda n: F.transform(F.filter("m_found", lambda x: x["n"] == n), lambda x: x["hash"])
@@ -118,10 +123,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     spans = both.select("doc_id", "item", F.expr(f"transform(ps, p -> struct(p - l AS s, p + {k} + r AS e))").alias("spans"))
     for n in lengths:
         mine = again.withColumn("m_mine", of(n)).withColumn("m_grams", _short_grams(n)).where("size(m_mine) > 0")
-        mine = mine.select("doc_id", F.explode("m_mine").alias("hash"), F.expr("m_grams").alias("g"))
-        mine = mine.select("doc_id", "hash", F.expr(f"transform(filter(sequence(0, size(g) - 1), i -> g[i] = hash), p -> struct(p AS s, p + {n} AS e))").alias("spans"))
-        theirs = short.where(F.col("n") == n).select("hash", "item")
-        spans = spans.unionByName(mine.join(_sided(theirs, small), "hash").select("doc_id", "item", "spans"))
+        mine = mine.select("doc_id", F.explode("m_mine").alias("hash"), F.col("m_grams").alias("g"), "m_words")
+        theirs = short.where(F.col("n") == n).select("hash", "item", "theirs")
+        same = F.expr(f"transform(filter(sequence(0, size(g) - 1), i -> g[i] = hash AND slice(m_words, i + 1, {n}) = theirs), p -> struct(p AS s, p + {n} AS e))")
+        spans = spans.unionByName(mine.join(_sided(theirs, small), "hash").select("doc_id", "item", same.alias("spans")).where("size(spans) > 0"))
     out = spans.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     return out
 
@@ -136,12 +141,21 @@ def _n_words() -> Column:
     return F.size(F.filter(F.split(bare, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1), lambda w: w != "")).cast("long")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (a struct of the id and a hash of the text, for ids may repeat) and text."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
+def _key() -> Column:
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+
+
 def _judged(sized: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
-    """``sized`` (with doc_id and m_n) with a struct column ``match``."""
-    found = hits(docs, benchmark, window, k).select(F.col("doc_id").alias("m_doc"), F.col("spans").alias("m_spans"), F.col("items").alias("m_items"))
-    df = sized.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left").withColumn("m_hit", F.expr(_N_HIT))
+    """``sized`` (with m_key and m_n) with a struct column ``m_match``."""
+    found = hits(_keyed(docs), benchmark, window, k).select(F.col("doc_id").alias("m_doc"), F.col("spans").alias("m_spans"), F.col("items").alias("m_items"))
+    df = sized.join(found, F.col("m_key").eqNullSafe(F.col("m_doc")), "left").withColumn("m_hit", F.expr(_N_HIT))
     items = F.coalesce("m_items", F.array().cast("array<string>"))
-    return df.withColumn("match", F.struct(
+    return df.withColumn("m_match", F.struct(
         F.col("m_n").alias("n_words"), F.col("m_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.col("m_spans").alias("spans"),
         ((F.col("m_hit") > 0) & (TWENTIETHS * F.col("m_hit") >= F.col("m_n"))).alias("contaminated"),
     ))
@@ -149,20 +163,27 @@ def _judged(sized: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The rows of ``docs`` with a struct column ``match``: n_words, n_hit, n_items, items, spans, contaminated."""
-    out = _judged(docs.withColumn("m_n", _n_words()), docs, benchmark, window, k)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "match")
+    docs = docs.drop("match")
+    out = _judged(docs.select(whole_row(docs).alias("row"), _key().alias("m_key"), _n_words().alias("m_n")), docs, benchmark, window, k)
+    return out.select(*columns_of(docs), F.col("m_match").alias("match"))
+
+
+def _report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """m_key and m_match of every document; the last join carries keys and word counts, not texts."""
+    return _judged(docs.select(_key().alias("m_key"), _n_words().alias("m_n")), docs, benchmark, WINDOW, K)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest columns for every document; the last join carries ids and word counts, not texts."""
-    out = _judged(docs.select("doc_id", _n_words().alias("m_n")), docs, benchmark, WINDOW, K)
-    return out.select("doc_id", "match.n_words", "match.n_hit", "match.n_items", F.sha2(F.array_join("match.items", ","), 256).alias("items_sha256"), "match.contaminated")
+    """The digest columns for every document."""
+    out = _report(docs, benchmark)
+    return out.select(F.col("m_key.id").alias("doc_id"), "m_match.n_words", "m_match.n_hit", "m_match.n_items", F.sha2(F.array_join("m_match.items", ","), 256).alias("items_sha256"), "m_match.contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, columns as they were."""
-    bad = report(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("m_doc")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left_anti")
+    bad = _report(docs, benchmark).where("m_match.contaminated").select(F.col("m_key").alias("m_bad")).distinct()
+    held = docs.select(whole_row(docs).alias("row"), _key().alias("m_key"))
+    return held.join(bad, F.col("m_key").eqNullSafe(F.col("m_bad")), "left_anti").select(*columns_of(docs))
 
 
 ORACLE_SQL = r"""

@@ -12,7 +12,10 @@ them out altogether (``short_sites`` None), because its SQL does; the pipeline a
 ``op3_line_dedup_all`` do not. Two seeded 64-bit hashes name a line.
 
 Defined results: null text stays null and has no lines; a null site counts as
-no site; rows of one doc_id share their removed places; extra columns are kept.
+no site; rows of one doc_id share their removed places, so a row that repeats an id
+loses what any of them loses; of equal first places all stay; an empty table gives no
+rows; extra columns of any name are kept (``line_dedup`` is replaced by the operator's
+own); a very long text is one row of lines.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import columns_of, cut, whole_row
+
 MIN_SITES, MIN_LINE_WORDS = 10, 4
 SHORT_SITES = 15
 #: Share of the threshold around it within which the sketch is not trusted; over five standard errors at this precision.
@@ -36,9 +41,8 @@ def _lines(docs: DataFrame, short_sites: int | None) -> DataFrame:
     return rows.select("doc_id", "source", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), long.alias("long"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
     """h1, h2 and first occurrence of the lines on at least ``min_sites`` sites, ``short_sites`` for short ones."""
-    lines = _lines(docs, short_sites)
     spread = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg(F.coalesce("source", F.lit("\x00")), F.lit(LOG_K))).alias("est"),
         F.max(F.col("source").isNull().cast("int")).alias("nulls"),
@@ -55,37 +59,43 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int |
 
 
 def removed_places(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
-    """doc_id with the places of the lines that go."""
-    hit = _lines(docs, short_sites).join(boilerplate(docs, min_sites, short_sites), ["h1", "h2"])
+    """doc_id with the places of the lines that go; lines are split and hashed once."""
+    lines = cut(_lines(docs, short_sites))
+    hit = lines.join(cut(boilerplate(lines, min_sites, short_sites)), ["h1", "h2"])
     hit = hit.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return hit.groupBy(F.col("doc_id").alias("r_doc")).agg(F.collect_set("pos").alias("r_at"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with a struct column ``line_dedup``: n_lines, n_removed, text."""
-    gone = removed_places(docs, min_sites, short_sites)
-    df = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("r_doc")), "left")
+def _cleaned(docs: DataFrame, min_sites: int, short_sites: int | None) -> DataFrame:
+    """row (a struct of the columns of ``docs``), n_lines, n_removed and cleaned text of every row."""
+    gone = removed_places(docs.select("doc_id", "text", "source"), min_sites, short_sites)
+    held = docs.select(whole_row(docs).alias("row"), "doc_id")
+    df = held.join(gone, F.col("doc_id").eqNullSafe(F.col("r_doc")), "left").withColumn("text", F.col("row.text"))
     stay = F.expr("array_except(sequence(0, size(split(text, '\\n', -1)) - 1), r_at)")
     df = df.withColumn("r_lines", F.split("text", "\n", -1)).withColumn("r_stay", F.when(F.col("r_at").isNotNull(), stay))
     text = F.when(F.col("r_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("r_stay", lambda i: F.get("r_lines", i)), "\n"))
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("r_lines")), F.lit(0)).cast("long")
     removed = F.when(F.col("r_at").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size("r_lines") - F.size("r_stay")).cast("long")
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(n.alias("n_lines"), removed.alias("n_removed"), text.alias("text")).alias("line_dedup"))
+    return df.select("row", n.alias("n_lines"), removed.alias("n_removed"), text.alias("kept"))
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with a struct column ``line_dedup``: n_lines, n_removed, text."""
+    docs = docs.drop("line_dedup")
+    return _cleaned(docs, min_sites, short_sites).select(*columns_of(docs), F.struct("n_lines", "n_removed", F.col("kept").alias("text")).alias("line_dedup"))
 
 
 def report(docs: DataFrame, short_sites: int | None = None) -> DataFrame:
-    out = cleaned(docs.select("doc_id", "text", "source"), short_sites=short_sites)
-    kept = F.coalesce("line_dedup.text", F.lit(""))
-    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    out = _cleaned(docs.select("doc_id", "text", "source"), MIN_SITES, short_sites)
+    kept = F.coalesce("kept", F.lit(""))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def drop_boilerplate(docs: DataFrame) -> DataFrame:
     """The documents without boilerplate lines; those that had words and are left with none go."""
-    out = cleaned(docs, short_sites=SHORT_SITES)
-    had = F.col("line_dedup.n_removed") > 0
-    words = F.col("line_dedup.text").rlike(r"[^\x20\x09-\x0D]")
-    keep = out.where(~had | words)
-    return keep.select(*[F.col("line_dedup.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = _cleaned(docs, MIN_SITES, SHORT_SITES)
+    keep = out.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return keep.select(*columns_of(docs, text=F.col("kept")))
 
 
 ORACLE_SQL = rf"""

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, drop
+from eventloom.llm.common import cut, drop, whole_row
 from eventloom.llm.components import components
 from eventloom.llm.hashing import STEPS, U64, mix, shingle_sets
 
@@ -359,9 +359,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     least = rows.groupBy("root").agg(F.min(key).alias("least"))
     keys = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies")).join(least, "root")
     keys = keys.withColumn("first", key.eqNullSafe(F.col("least"))).where("NOT first OR copies > 1").select("doc_id", "mark", "first")
-    # the input's columns travel in one struct, so that none can clash with those made here
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("at"), whole.alias("row"))
+    held = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("at"), whole_row(docs).alias("row"))
     met = held.join(keys, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("mark")), "left")
     # rows that repeat a doc_id and its text: few columns of few documents, met in partial sums
     again = met.where("first").groupBy("key", "at").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

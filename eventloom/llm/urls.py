@@ -14,7 +14,8 @@ Defined results: null or empty urls have no key and are not blocked; a null
 fetch time meets nothing; an entry that is added again while it holds starts a
 new interval; of events of one entry at one instant, remove comes first, so an
 add at the same time holds; repeated rows are judged each alike; extra columns
-of captures are kept.
+of captures of any name are kept (``url_filter`` is replaced by the operator's own);
+an empty table gives no rows; a very long url has a key for each part of its path.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import columns_of, whole_row
+
 #: Specificity of the kinds of entry.
 KINDS = {"domain": 1, "host": 2, "prefix": 3, "url": 4}
 FOREVER = 1 << 62
@@ -73,7 +76,8 @@ def keys_of(host: Column, path: Column, port: Column, query: Column) -> Column:
 
 def decide(captures: DataFrame, lists: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """The captures with a struct column ``url_filter``: blocked, n_active, kind and entry that decided."""
-    rows = captures.withColumn("u_row", F.struct(F.col(url), F.col(at))).withColumn("u_host", host_of(F.col(url))).withColumn("u_path", path_of(F.col(url)))
+    captures = captures.drop("url_filter")
+    rows = captures.select(whole_row(captures).alias("row"), F.struct(F.col(url), F.col(at)).alias("u_row"), host_of(F.col(url)).alias("u_host"), path_of(F.col(url)).alias("u_path"))
     seen = rows.select("u_row", "u_host", "u_path").groupBy("u_row", "u_host", "u_path").agg(F.lit(1).alias("one"))
     whole = F.col("u_row")[url]
     keyed = seen.select("u_row", F.explode(keys_of(F.col("u_host"), F.col("u_path"), port_of(whole), query_of(whole))).alias("k")).select("u_row", "k.kind", "k.entry")
@@ -86,7 +90,7 @@ def decide(captures: DataFrame, lists: DataFrame, url: str = "url", at: str = "f
         F.coalesce(~F.col("best.allows"), F.lit(False)).alias("blocked"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"),
         F.col("best.kind").alias("kind"), F.col("best.entry").alias("entry"),
     )
-    return out.select(*[F.col(f"`{c}`") for c in captures.columns], verdict.alias("url_filter"))
+    return out.select(*columns_of(captures), verdict.alias("url_filter"))
 
 
 def _digit(of: Column, salt: str, n: int) -> Column:
