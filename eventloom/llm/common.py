@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from contextlib import suppress
 
@@ -18,33 +19,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which driver and executors share; an error where none is set."""
+    """The checkpoint folder of the session, which driver and executors share.
+
+    Where none is set, a folder of its own is made if driver and executors are
+    one process, as in tests; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="eventloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
     return path
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted at the end of the driver unless ``remove`` is called before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_all)
+    _WRITTEN[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; lost executors cannot take it away. Shuffle files that led to it go at once.
 
     The table stays until ``drop`` or the end of the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/eventloom-{uuid.uuid4().hex}"
+    path = own_folder(spark, "eventloom")
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    if not _WRITTEN:
-        atexit.register(_drop_all)
     out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[path] = spark
     out.table_path = path
     return out
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import shared_dir
+from eventloom.llm.common import own_folder
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
@@ -189,7 +188,7 @@ def unpack(bundles: DataFrame, key_type: str = "bigint") -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str | None = None, **columns) -> str:
     """Write the bundles of ``pages`` to ``path`` (else a new folder in the shared one); gives the path."""
-    path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or own_folder(pages.sparkSession, "warc")
     pack(typed(pages, **columns)).write.option("compression", "uncompressed").parquet(path)
     return path
 

@@ -43,3 +43,27 @@ def test_stages(spark, small, tmp_path):
             assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in out[4].items()} == {r.doc_id: digest(tokenizer, r.text) for r in before.collect()}
         at = tmp_path / str(k)
     assert {r.doc_id for r in pipeline.run(spark, small).collect()} == set(out[4])
+
+
+def test_empty_nulls_and_repeats(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    good = next(r.text for r in pipeline.quality_rules(spark, docs, small).collect())
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (None, good, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    for rows_, want in ((rows, 1), ([], 0)):
+        at = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").select(*names)
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            path = str(tmp_path / f"{want}-{k}")
+            stage(spark, at, small).write.parquet(path)
+            at = spark.read.parquet(path)
+        assert at.count() <= want
+    assert remove_leaves_nothing(spark)
+
+
+def remove_leaves_nothing(spark):
+    from eventloom.llm import common
+
+    path = common.own_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    common.remove(spark, path)
+    return path not in common._WRITTEN
