@@ -1,17 +1,22 @@
 """A corpus pipeline of five stages, each of them one operator of the llm subpackage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet to the shared folder and read again as the next stage's documents.
+Parquet to the shared folder and read again as the next stage's documents; a
+stage's table goes once the next is written, the last with the driver.
+
+Defined results: an empty table leaves an empty table at every stage; null texts
+fail the quality rules; of rows that repeat an id each is judged by its own text,
+but for line dedup, which takes lines from all of them alike; of copies one row
+stays, the one with the least id that is not null; extra columns of any name go
+through all stages but the last; very long texts are handled whole.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import bpe, decontaminate, lines, ngram_join, quality
-from eventloom.llm.common import read, shared_dir
+from eventloom.llm.common import own_folder, read, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = read(spark, sf_dir, "documents"), own_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
