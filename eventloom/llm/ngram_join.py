@@ -225,10 +225,10 @@ def ranked(packs: DataFrame, counts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def lists_of(rows: DataFrame) -> DataFrame:
-    """token, id, nl and at (place in the set's order) of the tokens on two prefixes or more."""
+    """id, nl and places (token, at: its place in the set's order) of the tokens on two prefixes or more."""
     every = rows.select("id", "nl", "skip", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "nl", (F.col("skip") + F.col("pos")).alias("at"))
     shared = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    return every.join(shared, "token")
+    return every.join(shared, "token").groupBy("id", "nl").agg(F.collect_list(F.struct("token", "at")).alias("places"))
 
 
 def _least(na: str, nb: str) -> Column:
@@ -278,10 +278,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int
 
 def dealt(lists: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, int, int]:
     """The lists that hold several components: rows with root, the list's main root and one member of that; the table they lean on; how many rows and pairs they have."""
-    if roots is None:
-        rows = lists.withColumn("root", F.col("id"))
-    else:
-        rows = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # roots meet sets, a row each, before these are spread over their tokens
+    held = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = held.select("id", "nl", "root", F.explode("places").alias("x")).select("x.token", "id", "nl", "x.at", "root")
     head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "nl", "at")).alias("head")
     groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), head)
     mains = groups.groupBy("token").agg(F.max(F.struct("c", F.col("head.h"), "root", "head")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
