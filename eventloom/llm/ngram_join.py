@@ -17,8 +17,9 @@ Links: a shingle's list is dealt by the components that its members have so far.
 Members outside the largest component are held against one member of it, all
 lists at once and counted before verification, again and again with other
 members while that makes lists shorter. What then remains, members outside the
-largest component against all of other components, is joined at the first
-shingle that both have, if sizes, places and signatures allow, and verified. Pairs within one component are never made, so a group of near
+largest component against all of other components, is joined where sizes, places
+and signatures allow, counted and verified. Only signatures travel with a list,
+not its sets. Pairs within one component are never made, so a group of near
 copies costs rows in proportion to its size; no link between components is lost.
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
@@ -56,7 +57,7 @@ PACK_BYTES, PACK_SETS, BUCKET = 1 << 20, 1 << 12, 1 << 20
 #: Bits of a shingle that are counted; equal prefixes only make a shingle look more frequent.
 BITS = 48
 #: Bits of a set's signature: the parities of its shingles by hash. Two sets differ by as many shingles at least as their signatures do by bits.
-SIGNATURE = 1024
+SIGNATURE = 512
 #: Another round of single members is worth it while the remaining pairs are more than RATIO rows for each row, and fell below FALL of what they were.
 RATIO, FALL = 2, 0.7
 
@@ -317,15 +318,13 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         roots, before = components(linked), pairs
     rest = cut(members.withColumn("main", F.col("root") == F.col("main")).select("token", "id", "nl", "at", "root", "main"))
     drop(mains, lists)
-    # a pair is made at the first token of the order that both have: the arrays hold all that any pair of theirs can share
-    heads = rest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("heads"))
-    held = cut(heads.join(sets.select("id", "signature"), "id"))
+    # signatures keep unlike pairs out of the join; the others cost a row for each token that they share, as in the rounds
+    held = cut(sets.join(rest.select("id").distinct(), "id").select("id", "signature"))
     rest = rest.join(held, "id")
-    x, y = (rest.select("token", *(F.col(c).alias(c + s) for c in ("id", "nl", "at", "root", "main", "heads", "signature"))) for s in "xy")
+    x, y = (rest.select("token", *(F.col(c).alias(c + s) for c in ("id", "nl", "at", "root", "main", "signature"))) for s in "xy")
     apart = (F.col("rootx") != F.col("rooty")) & (F.col("mainy") | (F.col("idx") < F.col("idy")))
-    first = F.exists(F.array(F.array_intersect("headsx", "headsy")), lambda s: (F.size(s) >= _least("nlx", "nly")) & (s[0] == F.col("token")))
-    both = x.where("NOT mainx").join(y, "token").where(apart & fits("nlx", "nly", "atx", "aty") & alike("nlx", "nly", "signaturex", "signaturey") & first)
-    left = both.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+    both = x.where("NOT mainx").join(y, "token").where(apart & fits("nlx", "nly", "atx", "aty") & alike("nlx", "nly", "signaturex", "signaturey"))
+    left = enough(both.select(F.col("idx").alias("x"), F.col("nlx").alias("nx"), F.col("idy").alias("y"), F.col("nly").alias("ny")))
     left = cut(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
     last = cut(verified(left, texts, size))
     drop(held, left, sets)
