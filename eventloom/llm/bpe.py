@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the word pattern of this family of vocabularies, with white space spelled out.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Words kept per Python worker before the table is started anew; bounds memory only.
+#: Words kept in a task before the table is started anew; bounds memory only.
 CACHE_WORDS = 500_000
 #: Characters gathered before their new words are put in a trie together.
 BLOCK_CHARS = 2_000_000
@@ -72,6 +72,12 @@ class Codec:
         self.ids: dict[str, str] = {}
         self.out: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give back what was learnt from texts, so that a worker holds the vocabulary alone between tasks."""
+        for table in (self.apart, self.ids, self.out):
+            table.clear()
+        pa.default_memory_pool().release_unused()
+
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, for pairs of tokens only."""
         parts = [self.vocab[data[i : i + 1]] for i in range(len(data))]
@@ -218,7 +224,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", key:
     """Encode and decode every whole text: key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves on request.
 
     No shuffle: each task streams its rows through one Codec. The table of known
-    words is bounded, the trie of a block holds that block's new words only.
+    words is bounded and goes with the task, the trie of a block holds that block's new words only.
     """
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("token_ids", pa.list_(pa.int32()))] * ids
 
@@ -235,6 +241,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", key:
                     if ids:
                         cols[3].append([int(x) for x in joined.split(",")] if joined else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f[1]) for c, f in zip(cols, fields, strict=True))], names=[key, *(f[0] for f in fields)])
+        c.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
