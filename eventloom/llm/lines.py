@@ -3,7 +3,7 @@
 Per line hash one HyperLogLog sketch of the sites it stands on; sketches merge
 in the partial aggregation, so a line that is on a third of all rows costs one
 row a task. Lines whose estimate is near the threshold get an exact distinct
-count. A line on ``MIN_SITES`` sites or more is boilerplate: all but its first
+count, their rows dealt over ``SALTS`` parts first. A line on ``MIN_SITES`` sites or more is boilerplate: all but its first
 occurrence (smallest doc_id, then place) go.
 
 Lines of fewer than ``MIN_LINE_WORDS`` words, which running text may repeat by
@@ -12,7 +12,7 @@ them out altogether (``short_sites`` None), because its SQL does; the pipeline a
 ``op3_line_dedup_all`` do not. Two seeded 64-bit hashes name a line.
 
 Defined results: null text stays null and has no lines; a null site counts as
-no site; rows of one doc_id share their removed places, so a row that repeats an id
+no site; a null doc_id counts as the smallest; rows of one doc_id share their removed places, so a row that repeats an id
 loses what any of them loses; of equal first places all stay; an empty table gives no
 rows; extra columns of any name are kept (``line_dedup`` is replaced by the operator's
 own); a very long text is one row of lines.
@@ -29,6 +29,8 @@ MIN_SITES, MIN_LINE_WORDS = 10, 4
 SHORT_SITES = 15
 #: Share of the threshold around it within which the sketch is not trusted; over five standard errors at this precision.
 BAND, LOG_K = 0.2, 12
+#: Parts into which the rows of a line near the threshold are dealt, so that no one task counts a line that is on many rows.
+SALTS = 32
 
 _SPACES = " \t\n\x0b\f\r"
 
@@ -51,9 +53,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, short_sites: int |
     ).withColumn("est", F.col("est") - F.col("nulls"))
     need = F.lit(min_sites) if short_sites is None else F.when(F.col("long"), min_sites).otherwise(short_sites)
     low, high = need * (1 - BAND), need * (1 + BAND)
-    wide = spread.where(F.col("est") >= low)
-    near = wide.where(F.col("est") <= high).select("h1", "h2", "first")
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "long", "first", "source").agg(F.lit(1).alias("one"))
+    wide = cut(spread.where(F.col("est") >= low))
+    near = wide.where(F.col("est") <= high).select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
+    exact = salted.join(near, ["h1", "h2", "salt"]).groupBy("h1", "h2", "long", "first", "source").agg(F.lit(1).alias("one"))
     exact = exact.groupBy("h1", "h2", "long", "first").agg(F.count("source").alias("sites")).where(F.col("sites") >= need)
     return wide.where(F.col("est") > high).select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first"))
 
