@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.sources.logs import DIAGNOSIS_SCHEMA
@@ -26,18 +25,28 @@ def read_note(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     return asked.join(notes, "note", "left").select("name", F.coalesce("body", F.concat(F.lit("Note not found: "), F.col("name"))).alias("body"))
 
 
-def lines(notes: DataFrame) -> DataFrame:
-    """note, line (from 1), text; a last line end opens no line."""
+def _split() -> Column:
+    """Lines of the body; a last line end opens no line."""
     body = F.regexp_replace("body", r"\r\n?|\n", "\n")
-    split = F.split(F.when(body.endswith("\n"), body.substr(F.lit(1), F.length(body) - 1)).otherwise(body), "\n", -1)
-    return notes.where("body <> ''").select("note", F.posexplode(split).alias("i", "text")).select("note", (F.col("i") + 1).alias("line"), "text")
+    return F.split(F.when(body.endswith("\n"), body.substr(F.lit(1), F.length(body) - 1)).otherwise(body), "\n", -1)
+
+
+def lines(notes: DataFrame) -> DataFrame:
+    """note, line (from 1), text."""
+    return notes.where("body <> ''").select("note", F.posexplode(_split()).alias("i", "text")).select("note", (F.col("i") + 1).alias("line"), "text")
 
 
 def search(notes: DataFrame, query: str, reach: int = 2) -> DataFrame:
-    """A row for each line that holds the query, whatever the case, with lines around it."""
-    w = W.partitionBy("note").orderBy("line").rowsBetween(-reach, reach)
-    around = lines(notes).withColumn("context", F.array_join(F.collect_list("text").over(w), "\n"))
-    return around.where(F.lower("text").contains(query.lower())).select("note", F.col("line").cast("string").alias("line"), "context")
+    """A row for each line that holds the query, whatever the case, with lines around it.
+
+    Only notes that hold the query are split; context is cut from a note's own lines, so nothing is shuffled.
+    """
+    asked = query.lower()
+    found = notes.where((F.col("body") != "") & F.lower("body").contains(asked)).select("note", _split().alias("lines"))
+    numbered = F.filter(F.transform("lines", lambda x, i: F.when(F.lower(x).contains(asked), i)), lambda i: i.isNotNull())
+    around = lambda i: F.slice("lines", F.greatest(i - reach, F.lit(0)) + 1, reach + 1 + F.least(i, F.lit(reach)))
+    hits = F.transform(numbered, lambda i: F.struct((i + 1).cast("string").alias("line"), F.array_join(around(i), "\n").alias("context")))
+    return found.select("note", F.explode(hits).alias("hit")).select("note", "hit.line", "hit.context")
 
 
 def listing(notes: DataFrame, folder: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.classify import time_basket
 from eventloom.functions.vocab import PAD, UNK
+from eventloom.session import checkpointed
 
 DAY = 86_400
 
@@ -15,26 +16,21 @@ DAY = 86_400
 def ordinals(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Global 0-based position ``g`` in ``order`` without one task that holds everything.
 
-    Rows are dealt into ranges and numbered within each; the ranges' sizes, a
-    row for each partition, are summed up and added. ``order`` must be unique
-    for the numbers to be the same in every run.
+    Rows are dealt into ranges, sorted there and written once; a row's number
+    within its range is its place, and the summed sizes of the ranges before, a row
+    for each partition, are joined to it. ``order`` must be unique for the numbers
+    to be the same in every run.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges by value, found once: a task that is run again finds the same ones
-    ranged = df.repartitionByRange(n, *order).withColumn("o_part", F.spark_partition_id())
-    bounds = ranged.groupBy("o_part").agg(F.min(F.struct(*order)).alias("o_lo"), F.count(F.lit(1)).alias("o_n"))
-    sizes = [(r.o_lo, r.o_n) for r in bounds.orderBy("o_part").collect()]
-    key = F.struct(*order)
-    if not sizes:
-        return df.withColumn("g", F.lit(0).cast("bigint"))
-    lows = spark.createDataFrame([(i, lo, sum(m for _, m in sizes[:i])) for i, (lo, _) in enumerate(sizes)], f"o_part int, o_lo {bounds.schema['o_lo'].dataType.simpleString()}, o_start bigint")
-    table = lows.agg(F.sort_array(F.collect_list(F.struct("o_lo", "o_start", "o_part"))).alias("o_table"))
-    found = df.crossJoin(F.broadcast(table))  # one row, as long as there are partitions
-    of = F.element_at(F.filter("o_table", lambda x: x["o_lo"] <= key), -1)
-    found = found.withColumn("o_at", of).withColumns({"o_start": F.col("o_at.o_start"), "o_part": F.col("o_at.o_part")})
-    g = F.row_number().over(W.partitionBy("o_part").orderBy(*order)) - 1 + F.col("o_start")
-    return found.withColumn("g", g.cast("bigint")).drop("o_table", "o_at", "o_start", "o_part")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # partition in the upper 31 bits, place in the lower 33; the checkpoint holds both fast
+    placed = checkpointed(ranged.withColumn("o_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("o_part", F.shiftright("o_id", 33))
+    before = F.sum("o_n").over(W.orderBy("o_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy("o_part").agg(F.count(F.lit(1)).alias("o_n")).select(F.col("o_part").alias("o_of"), F.coalesce(before, F.lit(0)).alias("o_start"))
+    found = placed.join(F.broadcast(starts), F.col("o_part") == F.col("o_of"))  # as many rows as partitions
+    g = F.col("o_id").bitwiseAND((1 << 33) - 1) + F.col("o_start")
+    return found.withColumn("g", g.cast("bigint")).drop("o_id", "o_part", "o_of", "o_start")
 
 
 def order_faults(df: DataFrame, order: list[str], g: str = "g") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC so that bins are those of the epoch; AQE for coalescing, skewed joins and small sides.
 SETTINGS = {
@@ -20,3 +22,20 @@ def session(app: str = "eventloom", **settings: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that its rows keep their partitions and places when tasks run again.
+
+    The folder is that of spark.checkpoint.dir. Where none is set, one is made if
+    driver and executors are one process, as in tests; on a cluster that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="eventloom-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint()

@@ -93,6 +93,16 @@ def test_cover_and_merge(spark):
     rows = spark.createDataFrame([("a", r, 99) for r in (3, 5, 9, 10, 30)], "node string, r int, lim int")
     w = S.greedy_cover(rows, ["node"], "r", 4, "lim").orderBy("lo")
     assert [(r.lo, r.hi) for r in w.collect()] == [(0, 7), (5, 13), (26, 34)]
+    many = [("b" if r % 3 else None, r * r % 10_007, 10_006) for r in range(3000)] + [("c", None, 5), ("d", 1, None), ("d", 1, None)]
+    want = set()
+    for node in ("b", None, "d"):
+        covered = -1
+        for r, end in sorted({(r, end) for n, r, end in many if n == node}):
+            if r > covered:
+                covered = r + 4 if end is None else min(r + 4, end)
+                want.add((node, max(r - 4, 0), covered))
+    got = S.greedy_cover(spark.createDataFrame(many, "node string, r int, lim int"), ["node"], "r", 4, "lim").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert [(r.lo, r.hi) for r in S.merged(w, ["node"]).orderBy("lo").collect()] == [(0, 13), (26, 34)]
 
 
