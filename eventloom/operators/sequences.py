@@ -70,12 +70,16 @@ def with_deltas(rows: DataFrame, at: str = "ts", per_second: int = 1, most: int
 
 
 def training_windows(rows: DataFrame, length: int, pad: int = PAD) -> DataFrame:
-    """win, event_ids, target, time_deltas of ``length`` each; a short tail is padded on the right."""
+    """win, event_ids, target, time_deltas of ``length`` each, and seconds, their sum; a short tail is padded on the right.
+
+    ``time_deltas`` are 32-bit floats, as a model reads them; ``seconds`` is summed in order before they are narrowed.
+    """
     whole = rows.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "delta"))).alias("w"))  # at most length + 1 rows a window
     tokens, deltas = F.col("w.token"), F.col("w.delta")
     fill = lambda a, v, n: F.slice(F.concat(a, F.array_repeat(F.lit(v), n)), 1, n)
-    full, times = fill(tokens, pad, length + 1), fill(deltas, 0.0, length + 1)
-    return whole.select("win", F.slice(full, 1, length).alias("event_ids"), F.slice(full, 2, length).alias("target"), F.slice(times, 1, length).cast("array<float>").alias("time_deltas"))
+    full, times = fill(tokens, pad, length + 1), fill(deltas, 0.0, length)
+    seconds = F.aggregate(times, F.lit(0.0), lambda a, x: a + x)
+    return whole.select("win", F.slice(full, 1, length).alias("event_ids"), F.slice(full, 2, length).alias("target"), times.cast("array<float>").alias("time_deltas"), seconds.alias("seconds"))
 
 
 def next_tokens(seq: DataFrame, by: list[str], order: list[str]) -> DataFrame:

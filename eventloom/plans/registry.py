@@ -281,8 +281,7 @@ def sequence_windows(spark, sf_dir):
 def training_windows(spark, sf_dir):
     w = Q.training_windows(Q.with_deltas(Q.capped(windowed(spark, sf_dir), CAP), per_second=1_000_000), LENGTH)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    whole = F.aggregate("time_deltas", F.lit(0.0), lambda a, x: a + x)
-    return w.select("win", text("event_ids").alias("event_ids"), text("target").alias("target"), F.round(whole, 0).cast("bigint").alias("seconds"))
+    return w.select("win", text("event_ids").alias("event_ids"), text("target").alias("target"), F.round("seconds", 0).cast("bigint").alias("seconds"))
 
 
 @query(f"WITH {T}, {_SEQ}, {_WIN} SELECT win, string_agg(DISTINCT CAST(token AS VARCHAR), ',' ORDER BY CAST(token AS VARCHAR)) AS tokens FROM c GROUP BY win")

@@ -83,6 +83,14 @@ def test_windows(spark):
     assert list(t.event_ids) == [0, 0, 0, 1, 87, 87, 87, 87] and list(t.target) == [0, 0, 1, 87, 87, 87, 87, 87] and t.time_deltas[0] == 0
 
 
+def test_window_seconds_are_summed_before_deltas_are_narrowed(spark):
+    steps = [40_000.004, 40_000.004, 40_000.004, 40_000.4879]  # 160000.4999; 160000.5 and more in 32 bits
+    at = [0] + [round(sum(steps[: i + 1]) * 1e6) for i in range(4)]
+    seq = spark.createDataFrame([(i, 0, t) for i, t in enumerate(at)], "g long, token int, ts long")
+    w = Q.training_windows(Q.with_deltas(Q.window_rows(seq, 5, 8, 4), per_second=1_000_000), 8).collect()[0]
+    assert abs(w.seconds - 160_000.4999) < 1e-6 and sum(w.time_deltas) >= 160_000.5
+
+
 def test_ordinals_over_many_ranges(spark):
     rows = [(f"n{i % 7}", i * 37 % 1000) for i in range(1000)]
     got = Q.ordinals(spark.createDataFrame(rows, "node string, ts long"), ["node", "ts"], 6).orderBy("g").collect()
