@@ -6,11 +6,21 @@ The scorer is a smoothed first-order model from grouped counts; any table of
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from eventloom.session import checkpointed
 
 SPECIAL = (87, 88, 89)
+#: Windows and cells of a block, and more than there are tokens.
+BLOCK, CELLS, SIDE = 1024, 1024, 1 << 31
 
 
 def ngram_model(pairs: DataFrame, n_tokens: int, smooth: float = 1.0) -> DataFrame:
@@ -57,32 +67,97 @@ def cooccurrence(rows: DataFrame) -> DataFrame:
     return a.join(b, "win").where("cause <> effect").select("win", "cause", "effect", (F.col("peffect") - F.col("pcause")).cast("double").alias("gap"))
 
 
+def poisson(hashes: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of 32-bit hashes by inversion, 6 at most."""
+    total, term, steps = 0.0, 0.36787944117144233, []
+    for k in range(1, 7):
+        total += term
+        term /= k
+        steps.append(total)
+    return np.searchsorted(steps, hashes / 4294967296.0, side="right")
+
+
+def sums(rows: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
+    """draw, cause, effect, n_both, n_after, gap: weights of the windows that hold both, and the effect after the cause; gap is summed for draw 0 alone.
+
+    Each task adds up its windows; its rows are to be summed. The row of cause and
+    effect null weighs all windows, those of a token with itself the windows that hold
+    it. A block of windows gives a table of weights by draw and one of cells by window, whose
+    product is the block's sums; a task holds the sums of the vocabulary's pairs.
+    """
+    first = rows.groupBy("win", "token").agg(F.min("pos").alias("pos"))
+    held = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "pos")))
+    windows = first.groupBy("win").agg(held.alias("held")).select(F.col("win").cast("string").alias("win"), "held.token", "held.pos")
+    kind = rows.schema["token"].dataType
+
+    def run(batches):
+        codes: dict = {}
+        added: dict[int, np.ndarray] = {}  # by cause * SIDE + effect: n_both and n_after by draw, and the gap
+        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
+            wins = [w.encode() for w in batch.column(0).to_pylist()]
+            weights = np.ones((n_bootstrap + 1, len(wins)), np.float32)
+            for draw in range(1, n_bootstrap + 1):
+                start = b"%d:%d:" % (seed, draw)
+                digests = b"".join([md5(start + w).digest() for w in wins])
+                weights[draw] = poisson(np.frombuffer(digests, ">u4")[::4])
+            add(added, 0, weights.sum(axis=1, dtype=np.float64), None, 0)
+            lists = batch.column(1)
+            found = lists.flatten().dictionary_encode()
+            names = np.array([codes.setdefault(t, len(codes) + 1) for t in found.dictionary.to_pylist()], np.int64)
+            token = names[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            pos = batch.column(2).flatten().to_numpy()
+            # every token of a window with every token of it
+            each = np.repeat(n, n)
+            left = np.repeat(np.arange(len(token)), each)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(np.cumsum(n) - n, n), each)
+            at, gap = np.repeat(np.arange(len(n)), n)[left], (pos[right] - pos[left]).astype(np.float64)
+            keys, cell = np.unique(token[left] * SIDE + token[right], return_inverse=True)
+            for a in range(0, len(keys), CELLS):
+                mine = (cell >= a) & (cell < a + CELLS)
+                c, w, g = cell[mine] - a, at[mine], gap[mine]
+                both, after = (np.zeros((len(wins), min(CELLS, len(keys) - a)), np.float32) for _ in range(2))
+                both[w, c], after[w, c] = 1, g > 0
+                gaps = np.bincount(c, weights=g, minlength=both.shape[1])
+                # sums of a block stay far below 2**24, so they are exact in 32 bits
+                both, after = weights @ both, weights @ after
+                for i in range(both.shape[1]):
+                    add(added, int(keys[a + i]), both[:, i], after[:, i], gaps[i])
+        tokens = [None, *codes]
+        for key, (both, after, gap) in added.items():
+            cols = [np.arange(n_bootstrap + 1), both.astype(np.int64), after.astype(np.int64), np.where(np.arange(n_bootstrap + 1) == 0, gap, 0.0)]
+            same = [pa.array([tokens[x]] * (n_bootstrap + 1), to_arrow_type(kind)) for x in divmod(key, SIDE)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *same, *map(pa.array, cols[1:])], names=["draw", "cause", "effect", "n_both", "n_after", "gap"])
+
+    def add(added, key, both, after, gap):
+        if key not in added:
+            added[key] = [np.zeros(n_bootstrap + 1), np.zeros(n_bootstrap + 1), 0.0]
+        cell = added[key]
+        cell[0] += both
+        if after is not None:
+            cell[1] += after
+        cell[2] += gap
+
+    return windows.mapInArrow(run, f"draw long, cause {kind.simpleString()}, effect {kind.simpleString()}, n_both long, n_after long, gap double")
+
+
 def effects(rows: DataFrame, n_bootstrap: int = 500, min_occurrences: int = 10, seed: int = 42) -> DataFrame:
     """cause, effect, ate, ci_lo, ci_hi, tgap, n: share of windows with the effect after the cause, less its share in windows without the cause.
 
-    Bootstrap draws are Poisson weights by hash of (seed, draw, window), made on
-    counts by window, so no window is copied. Causes in fewer windows than
-    ``min_occurrences`` are left out.
+    Bootstrap draws are Poisson weights by hash of (seed, draw, window); draw 0 is
+    the data itself. ``sums`` adds them up without a copy of a window for a draw.
+    Causes in fewer windows than ``min_occurrences`` are left out.
     """
-    first = rows.groupBy("win", "token").agg(F.min("pos").alias("pos"))
-    draws = first.select("win").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "win")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = F.lit(0)
-    total, term = 0.0, 0.36787944117144233
-    for k in range(1, 7):  # Poisson(1) by inversion
-        total += term
-        term /= k
-        weight = weight + (u >= total).cast("int")
-    draws = draws.withColumn("w", F.when(F.col("draw") == 0, 1).otherwise(weight)).where("w > 0")  # draw 0 is the data itself
-    n_all = draws.groupBy("draw").agg(F.sum("w").alias("n_all"))
-    with_token = first.join(draws, "win").groupBy("draw", "token").agg(F.sum("w").alias("n_with"))
-    after = cooccurrence(rows)
-    pair = after.join(draws, "win").groupBy("draw", "cause", "effect").agg(F.sum("w").alias("n_both"), F.sum(F.when(F.col("gap") > 0, F.col("w"))).alias("n_after"), F.avg("gap").alias("gap"))
-    c = with_token.select("draw", F.col("token").alias("cause"), F.col("n_with").alias("n_cause"))
-    e = with_token.select("draw", F.col("token").alias("effect"), F.col("n_with").alias("n_effect"))
+    drawn = checkpointed(sums(rows, n_bootstrap, seed))
+    n_all = drawn.where("cause IS NULL").groupBy("draw").agg(F.sum("n_both").alias("n_all"))  # a row for each draw
+    with_token = drawn.where("cause = effect").groupBy("draw", "cause").agg(F.sum("n_both").alias("n_with"))
+    pair = drawn.where("cause <> effect").groupBy("draw", "cause", "effect").agg(*(F.sum(x).alias(x) for x in ("n_both", "n_after", "gap"))).where("n_both > 0")
+    pair = pair.withColumn("gap", F.col("gap") / F.col("n_both"))
+    c = with_token.select("draw", "cause", F.col("n_with").alias("n_cause"))
+    e = with_token.select("draw", F.col("cause").alias("effect"), F.col("n_with").alias("n_effect"))
     cells = pair.join(c, ["draw", "cause"]).join(e, ["draw", "effect"]).join(F.broadcast(n_all), "draw")
     without = F.col("n_all") - F.col("n_cause")
-    ate = F.coalesce("n_after", F.lit(0)) / F.col("n_cause") - F.when(without > 0, (F.col("n_effect") - F.col("n_both")) / without).otherwise(0.0)
+    ate = F.col("n_after") / F.col("n_cause") - F.when(without > 0, (F.col("n_effect") - F.col("n_both")) / without).otherwise(0.0)
     cells = cells.withColumn("ate", ate)
     own = F.col("draw") == 0
     out = cells.groupBy("cause", "effect").agg(
