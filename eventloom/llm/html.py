@@ -2,16 +2,19 @@
 
 A page becomes lines, one for each block. Blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments go by
-their markup. Where a page marks its article (or main part), the lines in it
-are its text. Lines of a page that marks none are held against the page nearest
-to it by URL path on the same host: both pages' lines are aligned by longest
-common subsequence, and shared lines, being the site's and not the page's, go.
+their markup. Every page's remaining lines are held against the page nearest to
+it by URL path on the same host: both pages' lines are aligned by longest common
+subsequence, and shared lines, being the site's and not the page's, go. Where a
+page marks its article (or main part), the lines in it are its text, and a check
+follows: shared lines go only with a named part of the article (a div, section,
+list or table with a class, id or role that the list of names does not know) whose
+lines are all shared; other article lines stay, since articles share sentences.
 
 Copies under other URLs of a host are one class, by the list of their lines, and
 the class stands at its first URL, so that a neighbour is a different page.
 Neighbours come from one global sort by (host, path) and ordinals, joined on
 ordinal + 1: a host with a third of all pages is spread like any other. Only
-line hashes take part; pages that need no neighbour join nothing.
+line hashes take part; pages without lines join nothing.
 
 Defined results: null html gives the empty text; null urls have no neighbour; a
 neighbour that shares all of a page's lines takes nothing away, and the one on the
@@ -52,6 +55,9 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 SPACES = re.compile(r"\s+")
 CLOSES_P = BLOCKS - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "html", "body"}
 
+#: Elements that part an article, where they bear a name.
+PARTS = frozenset("div section ul ol dl table details".split())
+
 
 #: The same for an element that is itself an article: only what is another's words.
 OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comments?|respond|replies)(?:$|[\s_-])", re.I)
@@ -69,16 +75,26 @@ def _named_apart(element: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _named(attributes: str) -> bool:
+    return "=" in attributes and any(x[0].lower() in ("class", "id", "role") and any(x[1:]) for x in ATTRIBUTE.findall(attributes))
+
+
 def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
     """Lines of the article, whether the page marked one, and every line of the page, site parts included."""
+    return page_parts(html)[:3]
+
+
+def page_parts(html: str | None) -> tuple[list[str], bool, list[str], list[int]]:
+    """The same, and the number of the innermost named part of the marked article that each of its lines is in, 0 for none."""
     if not html:
-        return [], False, []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, apart, inside a marked article
+        return [], False, [], []
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # name, apart, inside a marked article, its part
     held: list[str] = []
-    own: list[tuple[bool, str]] = []
+    own: list[tuple[bool, int, str]] = []
     every: list[str] = []
     marked = False
     apart = inside = False
+    part = parts = 0
 
     def flush() -> None:
         if held:
@@ -87,7 +103,7 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
             if line:
                 every.append(line)
                 if not apart:
-                    own.append((inside, line))
+                    own.append((inside, part, line))
 
     at, n = 0, len(html)
     search = TAG.search
@@ -113,7 +129,7 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
                         stack.pop()
                 elif name == stack[-1][0] and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
                     stack.pop()
-                apart, inside = stack[-1][1:]
+                apart, inside, part = stack[-1][1:]
             elif name == "br":
                 held.append(" ")
             if name in VOID:
@@ -130,7 +146,10 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
                 marked = True
             if goes != apart and name not in BLOCKS:
                 flush()
-            stack.append((name, goes, main))
+            if inside and name in PARTS and _named(m[2]):
+                parts += 1
+                part = parts
+            stack.append((name, goes, main, part))
             apart, inside = goes, main
         elif close:
             close = close.lower()
@@ -139,12 +158,12 @@ def page_lines(html: str | None) -> tuple[list[str], bool, list[str]]:
                     flush()
                 while stack.pop()[0] != close:
                     pass
-                apart, inside = stack[-1][1:]
+                apart, inside, part = stack[-1][1:]
             elif close in BLOCKS:
                 flush()
     flush()
-    lines = [line for main, line in own if main] if marked else [line for _, line in own]
-    return lines, marked, every
+    kept = [x for x in own if x[0] or not marked]
+    return [x[2] for x in kept], marked, every, [x[1] for x in kept]
 
 
 #: Places of a line from which its mask is kept rather than made again.
@@ -213,31 +232,32 @@ def _hashes(lines: list[str]) -> np.ndarray:
 
 
 def parsed_of(pages: DataFrame) -> DataFrame:
-    """row (a number), page_id, url, host, path, whether the page needs a neighbour, hashes of its own and of all its lines, and its own lines, compressed."""
+    """row (a number), page_id, url, host, path, whether the page needs a neighbour, hashes of its own and of all its lines, the parts of its own lines where it marks an article, and its own lines, compressed."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    names = ["row", "page_id", "url", "host", "path", "needs", "own", "lines", "text"]
+    names = ["row", "page_id", "url", "host", "path", "needs", "own", "lines", "parts", "text"]
 
     def run(batches):
         shut, n = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 40
         for batch in batches:
-            own, every, needs, texts = [], [], [], []
+            own, every, needs, parts, texts = [], [], [], [], []
             for html in batch.column(4):
-                lines, marked, whole = page_lines(html.as_py())
-                needs.append(bool(lines) and not marked)
-                own.append(_hashes(lines).tobytes() if needs[-1] else b"")
+                lines, marked, whole, part = page_parts(html.as_py())
+                needs.append(bool(lines))
+                own.append(_hashes(lines).tobytes() if lines else b"")
+                parts.append(np.array(part, np.int32).tobytes() if marked else None)
                 every.append(_hashes(whole).tobytes() if whole else b"")
                 texts.append(shut("\n".join(lines).encode("utf-8", "replace")))
             rows = pa.array(np.arange(n, n + batch.num_rows))
             n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, *(batch.column(i) for i in range(4)), pa.array(needs), *(pa.array(c, pa.binary()) for c in (own, every, texts))], names=names)
+            yield pa.RecordBatch.from_arrays([rows, *(batch.column(i) for i in range(4)), pa.array(needs), *(pa.array(c, pa.binary()) for c in (own, every, parts, texts))], names=names)
 
     keyed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    return keyed.mapInArrow(run, f"row long, page_id {kind}, url string, host string, path string, needs boolean, own binary, lines binary, text binary")
+    return keyed.mapInArrow(run, f"row long, page_id {kind}, url string, host string, path string, needs boolean, own binary, lines binary, parts binary, text binary")
 
 
 def neighbours(parsed: DataFrame) -> DataFrame:
-    """row, own lines' hashes, and the lists of the hashes of the neighbours' lines, nearest first, for pages that need a neighbour."""
-    parsed = parsed.where("url IS NOT NULL").select("row", "host", "path", "url", "needs", "own", "lines")
+    """row, own lines' hashes and parts, and the lists of the hashes of the neighbours' lines, nearest first, for pages that need a neighbour."""
+    parsed = parsed.where("url IS NOT NULL").select("row", "host", "path", "url", "needs", "own", "parts", "lines")
     # one page stands for all of a host that have its lines, so that a page's neighbour is another page
     parsed = parsed.withColumn("kind", F.sha2("lines", 256))
     one = parsed.groupBy("host", "kind").agg(F.min(F.struct("path", "url")).alias("u"), F.first("lines").alias("lines")).select("host", "u.path", "u.url", "kind", "lines")
@@ -253,35 +273,44 @@ def neighbours(parsed: DataFrame) -> DataFrame:
     placed = cut(ordered.mapInArrow(number, "host string, path string, url string, kind string, lines binary, part int, i long"))
     sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     if not sizes:
-        return parsed.select("row", "own", F.array("lines").alias("lines"))
+        return parsed.select("row", "own", "parts", F.array("lines").alias("lines"))
     starts, total = [], 0
     for part in range(max(sizes) + 1):
         starts.append(total)
         total += sizes.get(part, 0)
     place = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part")) + F.col("i")
     placed = placed.withColumn("at", place)
-    asks = parsed.where("needs").select("row", "host", "path", "kind", "own").join(placed.select("host", "kind", "at"), ["host", "kind"])
+    asks = parsed.where("needs").select("row", "host", "path", "kind", "own", "parts").join(placed.select("host", "kind", "at"), ["host", "kind"])
     other = placed.select(F.col("host").alias("h"), F.col("path").alias("p"), "lines", F.col("at").alias("to"))
     sides = asks.withColumn("to", F.explode(F.array(F.col("at") - 1, F.col("at") + 1))).join(other, "to").where("host = h")
     # nearest: the longer common start of the path, the earlier page on ties
     shared = F.expr("aggregate(sequence(1, least(size(split(path, '/')), size(split(p, '/')))), 0, (n, k) -> CASE WHEN n = k - 1 AND split(path, '/')[k - 1] = split(p, '/')[k - 1] THEN k ELSE n END)")
     # two sides at most: the most and the least near are both of them
     both = F.array(F.max_by("lines", "near"), F.min_by("lines", "near"))
-    best = sides.withColumn("near", F.struct(shared.alias("n"), (-F.col("to")).alias("o"))).groupBy("row").agg(both.alias("lines"), F.first("own").alias("own"))
-    return best.select("row", "own", "lines")
+    best = sides.withColumn("near", F.struct(shared.alias("n"), (-F.col("to")).alias("o"))).groupBy("row").agg(both.alias("lines"), F.first("own").alias("own"), F.first("parts").alias("parts"))
+    return best.select("row", "own", "parts", "lines")
+
+
+def leaving(shared: list[int], parts: list[int]) -> list[int]:
+    """The places among ``shared`` that go from a marked article: those of its named parts whose lines are all shared."""
+    held = set(shared)
+    stay = {0, *(p for i, p in enumerate(parts) if i not in held)}
+    return [i for i in shared if parts[i] not in stay]
 
 
 def shared_lines(parsed: DataFrame) -> DataFrame:
-    """row and the places of its lines that the nearest neighbour shares which does not share them all."""
+    """row and the places of its lines that go: of those that the nearest neighbour shares which does not share them all."""
 
     def run(batches):
         for batch in batches:
             rows, places = [], []
-            for row, own, lines in zip(*batch.columns, strict=True):
+            for row, own, parts, lines in zip(*batch.columns, strict=True):
                 a = np.frombuffer(own.as_py(), U64).tolist()
                 for other in lines.as_py():
                     got = common(a, np.frombuffer(other, U64).tolist())
                     if len(got) < len(a):
+                        if parts.is_valid:
+                            got = leaving(got, np.frombuffer(parts.as_py(), np.int32).tolist())
                         if got:
                             rows.append(row.as_py())
                             places.append(got)
@@ -297,8 +326,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = cut(parsed_of(pages))
     gone = cut(shared_lines(parsed))
     rows = parsed.select("row", "page_id", "url", "text")
-    # pages that share nothing with a neighbour have no row in gone; the join is left out where that is all of them
-    joined = rows.withColumn("gone", F.lit(None).cast("array<int>")) if gone.isEmpty() else rows.join(gone, "row", "left")
+    joined = rows.join(gone, "row", "left")  # pages that lose no line have no row in gone
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress

@@ -125,5 +125,19 @@ def test_long_pages_of_repeated_lines_align():
     assert got == sorted(set(got)) and len(got) >= 30_000
 
 
+def test_marked_pages_are_aligned_too(spark):
+    page = lambda *own: "<article><h1>Same title</h1>" + "".join(f"<p>{x}</p>" for x in own) + '<div class="qx7"><p>Get the app</p><ul><li>Now</ul></div><p>Same end</p></article>'
+    whole = '<article><div class="entry"><p>Shared start</p><p>own {}</p></div></article>'
+    rows = [
+        (1, "http://h.example.com/a/1", page("first"), "x"), (2, "http://h.example.com/a/2", page("second", "third"), "x"), (3, "http://g.example.com/1", page("alone"), "x"),
+        (4, "http://f.example.com/1", whole.format(4), "x"), (5, "http://f.example.com/2", whole.format(5), "x"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r.needs for r in html.parsed_of(df).collect()] == [True] * 5
+    got = {r.page_id: r.text.split("\n") for r in html.main_text(df).collect()}
+    assert got[1] == ["Same title", "first", "Same end"] and got[2] == ["Same title", "second", "third", "Same end"]
+    assert got[3] == ["Same title", "alone", "Get the app", "Now", "Same end"] and got[4] == ["Shared start", "own 4"] and got[5] == ["Shared start", "own 5"]
+
+
 def test_empty_and_unknown(spark):
     assert html.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
