@@ -14,9 +14,11 @@ bucket's totals back in the order sent. So a frequent shingle costs a row for
 each pack, not for each document.
 
 Links: a shingle's list is dealt by the components that its members have so far.
-Members outside the largest component are held against one member of it, all
-lists at once and counted before verification, again and again with other
-members while that makes lists shorter. What then remains, members outside the
+Members outside the largest component are held against one member of it, then
+against HEADS others a round, all lists at once and counted before verification,
+again and again with other members while that finds enough links: a member that a
+group's first few leave out mostly links to one of the next, and each one that is
+still out costs the last join a pair for each of the group. What then remains, members outside the
 largest component against all of other components, is joined where sizes, places
 and signatures allow, counted and verified. Only signatures travel with a list,
 not its sets. Pairs within one component are never made, so a group of near
@@ -58,8 +60,10 @@ PACK_BYTES, PACK_SETS, BUCKET = 1 << 20, 1 << 12, 1 << 20
 BITS = 48
 #: Bits of a set's signature: the parities of its shingles by hash. Two sets differ by as many shingles at least as their signatures do by bits.
 SIGNATURE = 512
-#: Another round of single members is worth it while the remaining pairs are more than RATIO rows for each row, and fell below FALL of what they were.
-RATIO, FALL = 2, 0.7
+#: Another round of single members is worth it while the remaining pairs are more than RATIO rows for each row, and the last one after the first found a link for each PER_LINK rows of the lists.
+RATIO, PER_LINK = 2, 5_000
+#: Members of the largest component that a round after the first tries, and the most rounds; both bound work only.
+HEADS, ROUNDS = 8, 16
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -278,14 +282,14 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int
 
 
 def dealt(lists: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """The lists that hold several components: rows with root, the list's main root and one member of that; the table they lean on; how many rows and pairs they have."""
+    """The lists that hold several components: rows with root, the list's main root and some members of that; the table they lean on; how many rows and pairs they have."""
     # roots meet sets, a row each, before these are spread over their tokens
     held = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = held.select("id", "nl", "root", F.explode("places").alias("x")).select("x.token", "id", "nl", "x.at", "root")
-    head = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "nl", "at")).alias("head")
-    groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), head)
-    mains = groups.groupBy("token").agg(F.max(F.struct("c", F.col("head.h"), "root", "head")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
-    mains = cut(mains.where("kinds > 1").select("token", F.col("top.root").alias("main"), F.col("top.head").alias("head"), "size", (F.col("size") - F.col("top.c")).alias("strays")))
+    heads = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(turn), F.lit(i)).alias("h"), "id", "nl", "at")) for i in range(HEADS if turn else 1)))
+    groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), heads.alias("heads"))
+    mains = groups.groupBy("token").agg(F.max(F.struct("c", F.col("heads")[0]["h"].alias("h"), "root", "heads")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
+    mains = cut(mains.where("kinds > 1").select("token", F.col("top.root").alias("main"), F.col("top.heads").alias("heads"), "size", (F.col("size") - F.col("top.c")).alias("strays")))
     size, pairs = mains.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("strays") * (F.col("size") - F.col("strays") / 2)), F.lit(0.0))).first()
     return rows.join(mains.drop("size", "strays"), "token"), mains, int(size), int(pairs)
 
@@ -303,19 +307,23 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     sets = cut(ranked(packs, counts, size))
     drop(rows, packs, counts)
     lists, texts = cut(lists_of(sets)), sets.select("id", "packed")
-    linked, tried, roots, before = None, None, None, None
+    linked, tried, roots, idle = None, None, None, False
     for turn in count():
         members, mains, n, pairs = dealt(lists, roots, turn)
-        if pairs <= RATIO * n or before is not None and pairs > FALL * before:
+        if pairs <= RATIO * n or idle or turn == ROUNDS:
             break
-        stars = members.where("root <> main").select(F.col("head.id").alias("x"), F.col("head.nl").alias("nx"), F.col("head.at").alias("atx"), F.col("id").alias("y"), F.col("nl").alias("ny"), "at")
+        stars = members.where("root <> main").select(F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("h")))).alias("head"), F.col("id").alias("y"), F.col("nl").alias("ny"), "at")
+        stars = stars.select(F.col("head.id").alias("x"), F.col("head.nl").alias("nx"), F.col("head.at").alias("atx"), "y", "ny", "at")
         new = enough(stars.where(fits("nx", "ny", "atx", "at")))
         new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.unionByName(new)
         found_now = cut(verified(new, texts, size))
         linked = found_now if linked is None else linked.unionByName(found_now)
         drop(mains)
-        roots, before = components(linked), pairs
+        links_now = found_now.count()
+        idle = turn > 0 and links_now < max(1, n // PER_LINK)
+        if links_now:
+            roots = components(linked)
     rest = cut(members.withColumn("main", F.col("root") == F.col("main")).select("token", "id", "nl", "at", "root", "main"))
     drop(mains, lists)
     # signatures keep unlike pairs out of the join; the others cost a row for each token that they share, as in the rounds

@@ -74,3 +74,23 @@ def test_repeated_rows_and_ids(spark):
     rows = [(1, a, 0)] * 5 + [(1, b, 0), (2, b, 0), (None, a, 0), (3, "z y x w v u", 0)]
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 56, 1)] + [(1, 56, 1)] * 6 + [(2, 56, 1), (3, 2, 3)]
+
+
+def test_near_copies_are_linked_before_the_last_join(spark, monkeypatch):
+    rng, rows, made = random.Random(11), [], []
+    text = [f"w{i}" for i in range(200)]
+    for _ in range(400):  # texts of three changes each link to those of two, but hardly to one another
+        copy = list(text)
+        for at in rng.sample(range(200), rng.choice([2, *[3] * 9])):
+            copy[at] = f"v{rng.randint(0, 10**9)}"
+        rows.append((len(rows), " ".join(copy)))
+    enough, dealt = ngram_join.enough, ngram_join.dealt
+
+    def counted(pairs):
+        made.append(pairs.count())
+        return enough(pairs)
+
+    monkeypatch.setattr(ngram_join, "enough", counted)
+    monkeypatch.setattr(ngram_join, "dealt", lambda *a: (*dealt(*a)[:3], 10**9))  # pairs that other lists hold and no link takes away
+    check(spark, rows)
+    assert len(made) > 2 and made[-1] <= 20 * len(rows)
