@@ -23,6 +23,7 @@ largest component against all of other components, is joined where sizes, places
 and signatures allow, counted and verified. Only signatures travel with a list,
 not its sets. Pairs within one component are never made, so a group of near
 copies costs rows in proportion to its size; no link between components is lost.
+A list whose members have become one component is not looked at again.
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
 empty or wordless texts have none, link to nothing and are their own component;
@@ -230,21 +231,25 @@ def ranked(packs: DataFrame, counts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def lists_of(rows: DataFrame) -> DataFrame:
-    """id, nl and places (token, at: its place in the set's order) of the tokens on two prefixes or more."""
+    """token, id, nl and at (the token's place in the set's order) of the tokens on two prefixes or more."""
     every = rows.select("id", "nl", "skip", F.posexplode("tokens").alias("pos", "token")).select("token", "id", "nl", (F.col("skip") + F.col("pos")).alias("at"))
     shared = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    return every.join(shared, "token").groupBy("id", "nl").agg(F.collect_list(F.struct("token", "at")).alias("places"))
+    return every.join(shared, "token")
 
 
-def _least(na: str, nb: str) -> Column:
-    return F.least(F.col(na).bitwiseAND(7), F.col(nb).bitwiseAND(7))
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def fits(na: str, nb: str, ata: str, atb: str) -> Column:
+def _least(na: str | Column, nb: str | Column) -> Column:
+    return F.least(_col(na).bitwiseAND(7), _col(nb).bitwiseAND(7))
+
+
+def fits(na: str | Column, nb: str | Column, ata: str | Column, atb: str | Column) -> Column:
     """Whether sets of these sizes can be similar, and the token stands on the prefixes that the pair itself calls for."""
     a, b = F.shiftright(na, 3), F.shiftright(nb, 3)
     overlap = F.ceil((PERCENT * (a + b)) / F.lit(100 + PERCENT))
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (F.col(ata) < a - overlap + _least(na, nb)) & (F.col(atb) < b - overlap + _least(na, nb))
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (_col(ata) < a - overlap + _least(na, nb)) & (_col(atb) < b - overlap + _least(na, nb))
 
 
 def alike(na: str, nb: str, sa: str, sb: str) -> Column:
@@ -282,16 +287,21 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, percent: int
 
 
 def dealt(lists: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """The lists that hold several components: rows with root, the list's main root and some members of that; the table they lean on; how many rows and pairs they have."""
-    # roots meet sets, a row each, before these are spread over their tokens
-    held = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = held.select("id", "nl", "root", F.explode("places").alias("x")).select("x.token", "id", "nl", "x.at", "root")
+    """Of lists (token, id, nl, at, or with roots id, nl, places) those that hold several components: rows with root and the list's main root; some members of that for each list; how many rows and pairs they have."""
+    if roots is None:
+        rows = lists.select("token", "id", "nl", "at", F.col("id").alias("root"))
+    else:  # roots meet sets, a row each, before these are spread over their tokens
+        held = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rows = cut(held.select("id", "nl", "root", F.explode("places").alias("x")).select("x.token", "id", "nl", "x.at", "root"))
     heads = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(turn), F.lit(i)).alias("h"), "id", "nl", "at")) for i in range(HEADS if turn else 1)))
     groups = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), heads.alias("heads"))
     mains = groups.groupBy("token").agg(F.max(F.struct("c", F.col("heads")[0]["h"].alias("h"), "root", "heads")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds"))
     mains = cut(mains.where("kinds > 1").select("token", F.col("top.root").alias("main"), F.col("top.heads").alias("heads"), "size", (F.col("size") - F.col("top.c")).alias("strays")))
     size, pairs = mains.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("strays") * (F.col("size") - F.col("strays") / 2)), F.lit(0.0))).first()
-    return rows.join(mains.drop("size", "strays"), "token"), mains, int(size), int(pairs)
+    members = cut(rows.join(mains.select("token", "main"), "token"))
+    if roots is not None:
+        drop(rows)
+    return members, mains, int(size), int(pairs)
 
 
 def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -310,11 +320,13 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     linked, tried, roots, idle = None, None, None, False
     for turn in count():
         members, mains, n, pairs = dealt(lists, roots, turn)
+        drop(lists)
         if pairs <= RATIO * n or idle or turn == ROUNDS:
             break
-        stars = members.where("root <> main").select(F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("h")))).alias("head"), F.col("id").alias("y"), F.col("nl").alias("ny"), "at")
-        stars = stars.select(F.col("head.id").alias("x"), F.col("head.nl").alias("nx"), F.col("head.at").alias("atx"), "y", "ny", "at")
-        new = enough(stars.where(fits("nx", "ny", "atx", "at")))
+        stars = members.where("root <> main").join(mains.select("token", "heads"), "token")
+        fitting = F.filter(F.array_distinct(F.transform("heads", lambda h: h.dropFields("h"))), lambda h: fits(h["nl"], "nl", h["at"], "at"))
+        stars = stars.select(F.explode(fitting).alias("head"), F.col("id").alias("y"), F.col("nl").alias("ny"))
+        new = enough(stars.select(F.col("head.id").alias("x"), F.col("head.nl").alias("nx"), "y", "ny"))
         new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         tried = new if tried is None else tried.unionByName(new)
         found_now = cut(verified(new, texts, size))
@@ -324,8 +336,13 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         idle = turn > 0 and links_now < max(1, n // PER_LINK)
         if links_now:
             roots = components(linked)
-    rest = cut(members.withColumn("main", F.col("root") == F.col("main")).select("token", "id", "nl", "at", "root", "main"))
-    drop(mains, lists)
+        # components only grow, so a list of one component stays so: the next round has to look at these lists alone
+        lists = members
+        if roots is not None:
+            lists = cut(members.groupBy("id", "nl").agg(F.collect_list(F.struct("token", "at")).alias("places")))
+            drop(members)
+    drop(mains)
+    rest = members.withColumn("main", F.col("root") == F.col("main"))
     # signatures keep unlike pairs out of the join; the others cost a row for each token that they share, as in the rounds
     held = cut(sets.join(rest.select("id").distinct(), "id").select("id", "signature"))
     rest = rest.join(held, "id")
@@ -335,7 +352,7 @@ def links(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     left = enough(both.select(F.col("idx").alias("x"), F.col("nlx").alias("nx"), F.col("idy").alias("y"), F.col("nly").alias("ny")))
     left = cut(left if tried is None else left.join(tried, ["a", "b"], "left_anti"))
     last = cut(verified(left, texts, size))
-    drop(held, left, sets)
+    drop(held, left, sets, members)
     return classed, components(last if linked is None else linked.unionByName(last))
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from eventloom.llm import ngram_join
+from eventloom.llm import components, ngram_join
 
 SCHEMA = "doc_id long, text string, n long"
 
@@ -94,3 +94,39 @@ def test_near_copies_are_linked_before_the_last_join(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "dealt", lambda *a: (*dealt(*a)[:3], 10**9))  # pairs that other lists hold and no link takes away
     check(spark, rows)
     assert len(made) > 2 and made[-1] <= 20 * len(rows)
+
+
+def test_rounds_look_at_open_lists_only(spark, monkeypatch):
+    rng, rows, looked = random.Random(5), [], []
+    words = [f"w{i}" for i in range(5000)]
+    for _ in range(20):  # copies that link to one another: their lists are done after a round
+        text = rng.choices(words, k=120)
+        rows += [(len(rows) + i, " ".join([*text, f"end{i}"])) for i in range(8)]
+    passage = rng.choices(words, k=60)
+    for i in range(20):  # a passage in texts that differ otherwise: its lists stay open
+        rows.append((len(rows), " ".join([*passage, *(f"own{i}of{j}" for j in range(14))])))
+    dealt = ngram_join.dealt
+
+    def counted(lists, roots, turn):
+        looked.append(lists.selectExpr("coalesce(sum(size(places)), 0)").first()[0] if "places" in lists.columns else lists.count())
+        return (*dealt(lists, roots, turn)[:3], 10**9)
+
+    monkeypatch.setattr(ngram_join, "dealt", counted)
+    check(spark, rows)
+    assert len(looked) > 2 and 0 < looked[2] < looked[0] / 2
+
+
+def test_components_in_one_task_and_by_steps(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7), (None, 3)]
+    root = {x: x for a, b in edges if a is not None and a != b for x in (a, b)}
+    for _ in root:
+        for a, b in edges:
+            if a is not None and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (1000, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        got = components.components(df).collect()
+        assert len(got) == len(root) and dict(map(tuple, got)) == root
+    assert components.components(df.limit(0)).collect() == []
