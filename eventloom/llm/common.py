@@ -44,7 +44,12 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def scan_tasks(table: DataFrame) -> int:
+    """Tasks that a scan of a written table takes: in proportion to its size, whatever the number of shuffle partitions."""
+    return max(1, table.rdd.getNumPartitions())
+
+
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; lost executors cannot take it away. Shuffle files that led to it go at once.
 
     The table stays until ``drop`` or the end of the driver.
@@ -54,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -62,6 +67,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_lean(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``cut`` with fewer child processes.
+
+    Without Hadoop's native library every file of a local folder, and the file of
+    its checksums, costs its executor a child process (chmod), which counts with
+    all of the executor's memory until it has started. So checksums are left out
+    (of local folders only; others have no such file), and ``tasks`` bounds the
+    files of tables whose partitions are even: results of partially aggregated
+    groupBys and joins by row.
+    """
+    return cut(df if tasks is None else df.coalesce(tasks), **{"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"})
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing will read again."""
     for t in tables:
