@@ -28,6 +28,8 @@ from eventloom.llm.hashing import LOWER, SPACE, STEPS, U64, Sums, mix, powers
 
 WORDS, GRAM = 51, 8
 REACH = WORDS - GRAM + 1
+#: Starts that a task holds before it passes them on; those of one text stay together.
+HELD = 100_000
 
 LOW = U64(0xFFFFFFFF)
 OPEN, LEAD, SURE = 0, 1, 2
@@ -141,6 +143,7 @@ def spelled(packed: DataFrame, states: DataFrame) -> DataFrame:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
+            held = 0
             for doc, raw, places, kept in zip(*(batch.column(i) for i in range(4)), strict=True):
                 place, state = places.values.to_numpy(), kept.values.to_numpy()
                 at = place >> 16
@@ -155,7 +158,15 @@ def spelled(packed: DataFrame, states: DataFrame) -> DataFrame:
                     n1, n2 = (f(s, s + WORDS).view(np.int64) for f in (t.names, t.other_names))
                 for c, v in zip(cols, (doc.as_py(), sure.astype(np.int32), s.astype(np.int32), known.astype(bool), n1, n2), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "sure", "at", "known", "n1", "n2"])
+                held += len(sure) + len(s)
+                if held > HELD:
+                    yield emit(cols)
+                    cols, held = [[] for _ in kinds], 0
+            if held:
+                yield emit(cols)
+
+    def emit(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "sure", "at", "known", "n1", "n2"])
 
     both = packed.select("doc", "packed").join(by_doc, "doc")
     return both.mapInArrow(run, "doc long, sure array<int>, at array<int>, known array<boolean>, n1 array<long>, n2 array<long>")
